@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .jaccard import op10_ngram_jaccard_join
 from .langid import op6_language_id
 from .lengths import op8_token_counts
 from .packing import op3_best_fit_packing
@@ -16,7 +17,18 @@ from .spotsigs import op1_spotsigs
 from .urls import op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spotsigs, op2_byte_bpe, op3_best_fit_packing, op4_quality_rules, op5_url_filters, op6_language_id, op7_hilbert_sharding, op8_token_counts)
+    f.__name__: f
+    for f in (
+        op1_spotsigs,
+        op2_byte_bpe,
+        op3_best_fit_packing,
+        op4_quality_rules,
+        op5_url_filters,
+        op6_language_id,
+        op7_hilbert_sharding,
+        op8_token_counts,
+        op10_ngram_jaccard_join,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
