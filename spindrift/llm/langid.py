@@ -168,19 +168,21 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in keep, lang_pred and score of each row."""
+    """The columns in keep (the text may be one), lang_pred and score of each row."""
     held = df.sparkSession.sparkContext.broadcast(model)
+    columns = keep if text_col in keep else [*keep, text_col]
+    text_at = columns.index(text_col)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def over(batches):
         mixtures = Mixtures(*held.value)
         for batch in batches:
             for part in pieces_of(batch):
-                found = mixtures.infer([t or "" for t in part.column(len(keep)).to_pylist()])
+                found = mixtures.infer([t or "" for t in part.column(text_at).to_pylist()])
                 langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), langs, scores], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(over, f"{kinds}, lang_pred string, score double")
+    return df.select(*columns).mapInArrow(over, f"{kinds}, lang_pred string, score double")
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

@@ -11,6 +11,7 @@ from .jaccard import op10_ngram_jaccard_join
 from .langid import op6_language_id
 from .lengths import op8_token_counts
 from .packing import op3_best_fit_packing
+from .pii import op9_surrogates
 from .quality import op4_quality_rules
 from .sharding import op7_hilbert_sharding
 from .spotsigs import op1_spotsigs
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_language_id,
         op7_hilbert_sharding,
         op8_token_counts,
+        op9_surrogates,
         op10_ngram_jaccard_join,
     )
 }
