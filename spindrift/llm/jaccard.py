@@ -40,6 +40,8 @@ BROADCAST_ROWS = 1 << 20
 #: Most shared shingles that a document may ask of a candidate, and the cost of comparing two sets
 #: in terms of one entry of a posting list.
 MAX_MATCHES, VERIFY_COST = 8, 16
+#: Sizes of one band differ by this factor at most.
+BAND = 1.05
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -249,10 +251,17 @@ def _shared_shingles(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
 
 
 def _prefix_pairs(shared: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share enough of their prefixes."""
+    """Pairs of different components that share enough of their prefixes.
+
+    A set that links misses at most n - ceil(t n) of its shingles in the other one, and the shorter
+    of two at most n - ceil(2 t / (1 + t) n): each set is dealt in both parts, by the prefix that the
+    part needs. Sets only meet in the bands of sizes where those of their shingles that matter can
+    suffice; what stands before the first shared one in either order must leave enough, too."""
     from pyspark.sql import Window
 
-    missing = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
+    long_part, short_part, needed = threshold, 2 * threshold / (1 + threshold), threshold / (1 + threshold)
+    most_missing = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9)
+    missing = most_missing(long_part)
     held = shared.groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps.select("id", "n", "component"), "id")
     # shingles of its own come first in the order; with more of them than a linked set can miss, none links
     held = written(held.where(F.col("s") >= F.col("n") - missing), "open")
@@ -263,13 +272,22 @@ def _prefix_pairs(shared: DataFrame, reps: DataFrame, threshold: float) -> DataF
     matches = F.greatest(F.col("k") - missing, F.lit(1))
     cost = so_far * (1 + F.lit(float(VERIFY_COST)) / matches)
     chosen = ranked.withColumn("cost", cost).withColumn("l", matches).where(F.col("k") > missing).groupBy("id").agg(F.min_by("l", F.struct("cost", "l")).alias("l"))
-    prefix = ranked.join(chosen, "id").where(F.col("k") <= missing + F.col("l")).select("x", "id", "n", "component", "l")
-    prefix = written(prefix, "prefix")
-    a = prefix.select("x", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("l").alias("la"))
-    b = prefix.select("x", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("l").alias("lb"))
-    near = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    met = a.join(b, "x").where((F.col("a") < F.col("b")) & near)
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least("la", "lb")).alias("l")).where("c >= l")
+    prefix = written(ranked.join(chosen, "id").where(F.col("k") <= missing + F.col("l")).select("x", "id", "n", "s", "k", "component", "l"), "prefix")
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND) + 1e-9)
+    longest = F.least(F.col("n"), F.floor(F.col("s") / needed - F.col("n") + 1e-6))
+    bands = F.explode(F.sequence(band(F.ceil(F.col("n") * threshold - 1e-9)), band(longest)))
+    of = lambda e: [F.col(c).alias(f"{c}{e}") for c in ("id", "n", "s", "k", "component", "l")]
+    a = prefix.where(longest >= F.ceil(F.col("n") * threshold - 1e-9)).select("x", bands.alias("band"), *of("_a"))
+    short = (F.col("s") >= F.ceil(F.col("n") * short_part - 1e-9)) & (F.col("k") <= most_missing(short_part) + F.col("l"))
+    b = prefix.where(short).select("x", band(F.col("n")).alias("band"), *of("_b"))
+    enough = F.ceil((F.col("n_a") + F.col("n_b")) * needed - 1e-9)
+    longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") > F.col("id_b")))
+    fits = (F.col("component_a") != F.col("component_b")) & (F.least("s_a", "s_b") >= enough) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    met = a.join(b, ["x", "band"]).where(longer & fits)
+    pairs = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.first(F.least("l_a", "l_b")).alias("l"), F.max(F.least(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.col("k_b")) + 1 - enough).alias("room")
+    )
+    return pairs.where("c >= l and room >= 0")
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
