@@ -6,8 +6,9 @@ each document's component under these links, exactly, without writing out the li
 
 1. Documents with equal sets become one representative (the least id).
 2. Contraction. Representatives that share minimum hashes are verified against one hub each, in a
-   few rounds with other hubs. This takes no decision but links, and it makes large groups of near
-   copies one component, so that later only pairs of different components matter.
+   few rounds with other hubs, and later those that can still link against the most central of
+   the sets that share their shingles. This takes no decision but links, and it makes large groups
+   of near copies one component, so that only pairs of different components matter.
 3. Exact join by adaptive multi-match prefixes. A shingle matters if it occurs in two components.
    With shingles in one global order (those that don't matter, then by frequency), two sets that
    link share at least l shingles within their first |x| - ceil(t |x|) + l. Most documents have so
@@ -32,9 +33,11 @@ from .common import table, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minimum hashes of a set, how many must lead to the same hub, and rounds with other hubs.
-KEYS, SAME_HUB, ROUNDS = 8, 2, 3
+KEYS, SAME_HUB, ROUNDS = 8, 2, 2
+#: Rounds of links to central sets among those that can still link.
+CENTRAL_ROUNDS = 3
 #: Shingles in a bucket of the frequency count, on average, and in one flush of a task.
-BUCKET, FLUSH = 1 << 20, 1 << 21
+BUCKET, FLUSH = 1 << 20, 1 << 19
 #: Rows of (id, component) that are broadcast at most (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
 #: Most shared shingles that a document may ask of a candidate, and the cost of comparing two sets
@@ -97,8 +100,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _groups(batches, limit: int = 1 << 21):
-    """(columns but for the text, texts) of a megabyte or two each, or of one longer text."""
+def _groups(batches, limit: int = 1 << 20):
+    """(columns but for the text, texts) of a megabyte or so each, or of one longer text."""
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         at, size = 0, 0
@@ -250,7 +253,33 @@ def _shared_shingles(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
     return written(dealt.groupBy("bucket").applyInArrow(count, "id bigint, x bigint, f bigint"), "shared")
 
 
-def _prefix_pairs(shared: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _open_sets(shared: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, n, s, component) of the sets that can still link with another component, since of their n
+    shingles enough (s) occur in one, and their rows of shared; both written. Shingles that have come
+    to lie within one component no longer count."""
+    held = shared.join(reps.select("id", "n", "component"), "id")
+    crossing = held.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x")
+    held = written(held.join(crossing, "x"), "crossing")
+    sets = held.groupBy("id", "n", "component").agg(F.count(F.lit(1)).alias("s"))
+    # shingles of its own come first in the order; with more of them than a linked set can miss, none links
+    sets = written(sets.where(F.col("s") >= F.ceil(F.col("n") * threshold - 1e-9)), "open")
+    return sets, held.select("id", "x", "f").join(sets.select("id"), "id", "left_semi")
+
+
+def _central_pairs(shared: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+    """For each open set the central one that most of its shingles lead to: of the sets that hold a
+    shingle, the one with the least share of shingles of its own. What was copied from one text lies
+    around it, so that these pairs join most of a group of near copies."""
+    each = shared.join(sets, "id")
+    noise = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 1000.0 * 0.02 * seed
+    own = (F.col("n") - F.col("s")) / F.col("n") + noise
+    hubs = each.groupBy("x").agg(F.min(F.struct(own.alias("own"), "id", "component")).alias("hub"))
+    met = each.select("x", "id", "component").join(hubs, "x").where("component <> hub.component")
+    counted = met.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+
+
+def _prefix_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components that share enough of their prefixes.
 
     A set that links misses at most n - ceil(t n) of its shingles in the other one, and the shorter
@@ -262,10 +291,7 @@ def _prefix_pairs(shared: DataFrame, reps: DataFrame, threshold: float) -> DataF
     long_part, short_part, needed = threshold, 2 * threshold / (1 + threshold), threshold / (1 + threshold)
     most_missing = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9)
     missing = most_missing(long_part)
-    held = shared.groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps.select("id", "n", "component"), "id")
-    # shingles of its own come first in the order; with more of them than a linked set can miss, none links
-    held = written(held.where(F.col("s") >= F.col("n") - missing), "open")
-    ranked = shared.join(held, "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")) + F.col("n") - F.col("s"))
+    ranked = shared.join(sets, "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")) + F.col("n") - F.col("s"))
     ranked = ranked.where(F.col("k") <= missing + MAX_MATCHES)
     # l matches cost the posting lists of l - 1 further shingles, and at most their share of comparisons
     so_far = F.sum("f").over(Window.partitionBy("id").orderBy("k"))
@@ -307,7 +333,15 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = reps.agg(F.sum("n")).first()[0] or 0
     if total:
         shared = _shared_shingles(docs, reps, total)
-        links.append(_verified(docs, _prefix_pairs(shared, reps, threshold), threshold))
+        for seed in range(CENTRAL_ROUNDS):
+            sets, shared = _open_sets(shared, reps, threshold)
+            more = _verified(docs, _central_pairs(shared, sets, seed), threshold)
+            if not more.limit(1).count():
+                break
+            links.append(more)
+            reps = _labelled(reps, links)
+        sets, shared = _open_sets(shared, reps, threshold)
+        links.append(_verified(docs, _prefix_pairs(shared, sets, threshold), threshold))
         reps = _labelled(reps, links)
     of_class = classes.join(reps.select(F.col("id").alias("rep"), "component"), "rep").select("sig", "component")
     out = found.select("id", "n", "sig").join(of_class, "sig", "left")
