@@ -33,4 +33,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_ngram_jaccard_join": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), places as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0
+), shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from places
+), sizes as (
+  select doc_id, count(*) as n from shingles group by 1
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), reached as (
+  select doc_id, doc_id as other from documents union select reached.doc_id, b from reached join links on a = other
+)
+select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id from documents d left join sizes using (doc_id) join reached using (doc_id) group by 1
+""",
+}
