@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Content words in a signature.
 CHAIN = 2
@@ -76,7 +76,8 @@ def near(df: DataFrame, id_col: str = "doc_id", signatures: str = "signatures",
     Representatives are dealt by their rarest signatures (as many as a near set can't all miss)
     and by their length's partition; a set also probes the partition of longer ones next to its
     own. Frequent signatures come last, so that what many documents share opens no comparison."""
-    held = df.where(F.size(signatures) > 0).select(F.col(id_col).alias("id"), F.col(signatures).alias("s"))
+    # written first: a filter on the sets would else be pushed into what computes them
+    held = written(df.select(F.col(id_col).alias("id"), F.col(signatures).alias("s")), "fingerprints").where(F.size("s") > 0)
     members = held.select("id", "s", F.min("id").over(Window.partitionBy("s")).alias("representative")).drop("s").distinct()
     reps = held.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
     each = reps.select("id", "n", F.explode("s").alias("x"))
