@@ -3,6 +3,10 @@ import sys
 import tempfile
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("spindrift", deadline=None)
+settings.load_profile("spindrift")
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
