@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     (a local session), a temporary folder that is then set for the session's context."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spindrift-")
         spark.sparkContext.setCheckpointDir(found)

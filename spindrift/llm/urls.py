@@ -25,6 +25,9 @@ MAX_TRAIN = 10_000
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_length", "dashes", "suffix_rate", "suffix_count"]
 
+#: Names of the columns that judging makes.
+MADE = [*FEATURES, "suffix", "host", "path", "rule", "verdict", "label", "features", "rawPrediction", "probability", "prediction", "block_probability"]
+
 
 def parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds host and path."""
@@ -97,8 +100,10 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN):
 
 
 def judge(df: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Adds host, path, rule, verdict and, where the trees judged, their probability of block."""
+    """Adds host, path, rule, verdict and, where the trees judged, their probability of block, beside
+    FEATURES. Columns of df with the name of one that is made give way."""
     name, verdict = rule_columns(rules)
+    df = df.drop(*MADE)
     seen = lexical(parts(df, url_col), url_col).withColumn("rule", name).withColumn("verdict", verdict)
     model, suffixes, share, otherwise = train(seen.where(F.col("rule").isNotNull()), max_train)
     seen = seen.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": share, "suffix_count": 0.0})

@@ -17,6 +17,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 MADE = bpe.coder(bpe.rank_file_bytes(RANKS), public_tokenizers.PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=MADE.ranks, special_tokens={})
+TOKENIZER = Tokenizer.from_file(WORD_BPE)
+TOKENIZER.encode_special_tokens = True
+with open(WORD_BPE, "rb") as f:
+    ENCODER = packing.word_encoder(f.read())
 ODD = ["", " ", "  a  \n b", "a\n\nb \nc\n d", "▁a ▁▁", "\x00 \x00a", "it's 's  ''", "don't 12 345  …  \t\tq\r\n\r\nz ", "　全角 文字　", "a" * 3000, "🙂 👩‍👩‍👧", " a", "a ", "<|endoftext|> x", "a\x1cb", "é é ǅ"]
 
 
@@ -50,22 +54,10 @@ def test_bpe_over_a_table(docs, nothing):
     assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in full)
 
 
-@pytest.fixture(scope="module")
-def word_bpe():
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t
-
-
 @given(st.text(st.sampled_from("ab EÉ\n\t.,'12 　́Σİ-") | st.characters(exclude_categories=["Cs"]), max_size=60))
 @settings(max_examples=300)
 def test_words_encode_as_texts(text):
-    t = Tokenizer.from_file(WORD_BPE) if not hasattr(test_words_encode_as_texts, "t") else test_words_encode_as_texts.t
-    t.encode_special_tokens = True
-    test_words_encode_as_texts.t = t
-    with open(WORD_BPE, "rb") as f:
-        encoder = packing.word_encoder(f.read())
-    assert ids_of(encoder.encode_many([text])[0]) == t.encode(text, add_special_tokens=False).ids
+    assert ids_of(ENCODER.encode_many([text])[0]) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def check_places(rows, capacity):
@@ -81,13 +73,13 @@ def check_places(rows, capacity):
     return len(held)
 
 
-def test_packing(docs, nothing, word_bpe):
+def test_packing(docs, nothing):
     rows = packing.pack(docs, WORD_BPE, with_ids=True, capacity=512).collect()
     n = check_places(rows, 512)
     assert n == -(-sum(r.length for r in rows) // 512)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for i, text in texts.items():
-        ids = [*word_bpe.encode(text, add_special_tokens=False).ids, 1]
+        ids = [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
         own = sorted({(r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in rows if r.doc_id == i})
         assert [x for p in own for x in ids_of(p[4])] == ids
         assert [(p[0], p[1]) for p in own] == [(k, k * 512) for k in range(len(own))]

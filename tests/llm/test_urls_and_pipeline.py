@@ -24,8 +24,8 @@ def plain(url):
 
 def test_rules(spark):
     odd = [None, "", "no scheme", "http://", "http://ORG/x", "https://a.Example.ORG/es/1?q=1#f", "ftp://example.org/en/12", "http://xorg/", "http://x.com/fr/?a", "http://x.com", "http://x.net/a/b?x=1&y=2://z", "http://münchen.com/de/ü", "http://user@host.org:80/es/"]
-    df = spark.createDataFrame([(i, u, "clash", 3) for i, u in enumerate(odd)], "page_id long, url string, host string, depth int")
-    for r in urls.judge(df.select("page_id", "url")).collect():
+    df = spark.createDataFrame([(i, u, "clash", 3) for i, u in enumerate(odd)], "page_id long, url string, host string, features int")
+    for r in urls.judge(df).collect():
         host, path, rule, verdict = plain(r.url)
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
