@@ -285,7 +285,7 @@ def _prefix_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataF
     A set that links misses at most n - ceil(t n) of its shingles in the other one, and the shorter
     of two at most n - ceil(2 t / (1 + t) n): each set is dealt in both parts, by the prefix that the
     part needs. Sets only meet in the bands of sizes where those of their shingles that matter can
-    suffice; what stands before the first shared one in either order must leave enough, too."""
+    suffice, and where what follows their first shared one in either order leaves enough."""
     from pyspark.sql import Window
 
     long_part, short_part, needed = threshold, 2 * threshold / (1 + threshold), threshold / (1 + threshold)
@@ -303,17 +303,20 @@ def _prefix_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataF
     longest = F.least(F.col("n"), F.floor(F.col("s") / needed - F.col("n") + 1e-6))
     bands = F.explode(F.sequence(band(F.ceil(F.col("n") * threshold - 1e-9)), band(longest)))
     of = lambda e: [F.col(c).alias(f"{c}{e}") for c in ("id", "n", "s", "k", "component", "l")]
-    a = prefix.where(longest >= F.ceil(F.col("n") * threshold - 1e-9)).select("x", bands.alias("band"), *of("_a"))
-    short = (F.col("s") >= F.ceil(F.col("n") * short_part - 1e-9)) & (F.col("k") <= most_missing(short_part) + F.col("l"))
+    # the first shared shingle lies in both prefixes for one match, and what follows it must be enough
+    a = prefix.where((longest >= F.ceil(F.col("n") * threshold - 1e-9)) & (F.col("k") <= missing + 1)).select("x", bands.alias("band"), *of("_a"))
+    short = (F.col("s") >= F.ceil(F.col("n") * short_part - 1e-9)) & (F.col("k") <= most_missing(short_part) + 1)
     b = prefix.where(short).select("x", band(F.col("n")).alias("band"), *of("_b"))
     enough = F.ceil((F.col("n_a") + F.col("n_b")) * needed - 1e-9)
     longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") > F.col("id_b")))
     fits = (F.col("component_a") != F.col("component_b")) & (F.least("s_a", "s_b") >= enough) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-    met = a.join(b, ["x", "band"]).where(longer & fits)
-    pairs = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.first(F.least("l_a", "l_b")).alias("l"), F.max(F.least(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.col("k_b")) + 1 - enough).alias("room")
-    )
-    return pairs.where("c >= l and room >= 0")
+    room = F.least(F.col("n_a") - F.col("k_a"), F.col("n_b") - F.col("k_b")) + 1 >= enough
+    met = a.join(b, ["x", "band"]).where(longer & fits & room).select("id_a", "id_b").distinct()
+    # and then as many matches as the prefixes were lengthened for
+    whole = prefix.groupBy("id").agg(F.collect_list("x").alias("p"), F.first("l").alias("l"))
+    both = met.join(whole.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "p", "l"))), "id_a").join(whole.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "p", "l"))), "id_b")
+    enough_matches = F.size(F.array_intersect("p_a", "p_b")) >= F.least("l_a", "l_b")
+    return both.where(enough_matches).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -76,7 +76,8 @@ def check_places(rows, capacity):
 def test_packing(docs, nothing):
     rows = packing.pack(docs, WORD_BPE, with_ids=True, capacity=512).collect()
     n = check_places(rows, 512)
-    assert n == -(-sum(r.length for r in rows) // 512)
+    least = -(-sum(r.length for r in rows) // 512)  # not always reachable
+    assert least <= n <= least + 1
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for i, text in texts.items():
         ids = [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
