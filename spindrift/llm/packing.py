@@ -14,6 +14,7 @@ nothing. Columns other than the id and the text are ignored.
 
 import hashlib
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import pieces_of
+from .bpe import byte_characters, pieces_of
 from .common import table, written
 
 CAPACITY = 4096
 #: Distinct words that one Python worker keeps; the cache is emptied beyond that.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 class WordEncoder:
@@ -41,23 +42,36 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.to_characters = dict(enumerate(byte_characters()))
         self.words: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.words.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, dtype="<u4").tobytes()
+        """Puts the ids of new words into the cache. A word of Latin letters is one pre-token, which
+        goes to the model as it is, in lower case; all others pass through the whole tokenizer."""
+        others = []
+        for word in words - self.words.keys():
+            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                found = self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.to_characters))
+                self.words[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            else:
+                others.append(word)
+        for word, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
+            self.words[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
+        # lower case only saves words: the tokenizer, too, makes ASCII lower case
+        cut = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") for text in texts]
+        missing = set().union(*cut) - self.words.keys()
         # a comma or full stop after a letter is a pre-token of its own, as is what precedes it
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        ends = {w: (w[:-1], w[-1]) for w in set().union(*cut) - self.words.keys() if w[-1:] in (",", ".") and w[-2:-1].isalpha()}
-        self.learn({p for w in set().union(*cut) for p in ends.get(w, (w,))})
-        for w, (word, end) in ends.items():
-            self.words[w] = self.words[word] + self.words[end]
+        ended = [w for w in missing if w[-1:] in (",", ".") and w[-2:-1].isalpha()]
+        missing.difference_update(ended)
+        self.learn(missing.union([",", "."], (w[:-1] for w in ended)))
+        for w in ended:
+            self.words[w] = self.words[w[:-1]] + self.words[w[-1]]
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
 
