@@ -100,7 +100,9 @@ class ByteBpe:
     def learn(self, pretokens) -> None:
         """Puts the ids of all given pre-tokens into the cache; the model gets new ones in one call."""
         new = []
-        for pretoken in {*pretokens} - self.pretokens.keys():
+        for pretoken in {*pretokens}:
+            if pretoken in self.pretokens:
+                continue
             if (rank := self.ranks.get(pretoken.encode())) is not None:
                 self.pretokens[pretoken] = struct.pack("<I", rank)
             else:
@@ -121,7 +123,7 @@ class ByteBpe:
         if len(self.pretokens) > CACHE_ENTRIES:
             self.pretokens.clear()
         cut = [text.split(" ") for text in texts]
-        missing = set().union(*(c[1:] for c in cut)) - self.chunks.keys()
+        missing = [c for c in set().union(*(c[1:] for c in cut)) if c not in self.chunks]
         # a chunk with white space at an end belongs to a longer run
         own = {c: None if not c or c[0].isspace() or c[-1].isspace() else self.cut(" " + c) for c in missing}
         self.learn(p for pretokens in own.values() if pretokens for p in pretokens)

@@ -83,8 +83,9 @@ class Mixtures:
         held = []
         for text in texts:
             words = text.split()
-            for w in {*words} - self.places.keys():
-                self.places[w] = self.place(w)
+            for w in {*words}:
+                if w not in self.places:
+                    self.places[w] = self.place(w)
             at = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
             held.append(at[at >= 0])
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)

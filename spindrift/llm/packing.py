@@ -50,7 +50,9 @@ class WordEncoder:
         """Puts the ids of new words into the cache. A word of Latin letters is one pre-token, which
         goes to the model as it is, in lower case; all others pass through the whole tokenizer."""
         others = []
-        for word in words - self.words.keys():
+        for word in words:
+            if word in self.words:
+                continue
             if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
                 found = self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.to_characters))
                 self.words[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
@@ -65,7 +67,7 @@ class WordEncoder:
             self.words.clear()
         # lower case only saves words: the tokenizer, too, makes ASCII lower case
         cut = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") for text in texts]
-        missing = set().union(*cut) - self.words.keys()
+        missing = {w for w in set().union(*cut) if w not in self.words}
         # a comma or full stop after a letter is a pre-token of its own, as is what precedes it
         ended = [w for w in missing if w[-1:] in (",", ".") and w[-2:-1].isalpha()]
         missing.difference_update(ended)
