@@ -38,11 +38,21 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def grams(word: str) -> list[int]:
-    """Bins of the n-grams of a lower-case word of letters."""
-    edged = f"^{word}$"
-    found = [*word, *(edged[i : i + 2] for i in range(len(edged) - 1)), *(edged[i : i + 3] for i in range(len(edged) - 2))]
-    return [zlib.crc32(g.encode()) & BINS - 1 for g in found]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of the n-grams of lower-case words of letters, at each letter or edge those of one, two
+    and three that begin there; whether these exist; and where each word begins."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(codes)) - np.repeat(starts, lengths)
+    left = np.repeat(lengths, lengths) - place
+    one, two, three = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    after = np.concatenate([codes[1:], codes[:1]])
+    third = np.concatenate([codes[2:], codes[:2]])
+    mixed = np.stack([codes * one, codes * two + after * three + one, (codes * three + after) * one + third * two + three])
+    mixed = (mixed ^ mixed >> np.uint64(29)) * two
+    there = np.stack([(place > 0) & (left > 1), left > 1, left > 2])
+    return (mixed >> np.uint64(48)).astype(np.int64) & BINS - 1, there, starts
 
 
 class Mixtures:
@@ -54,18 +64,19 @@ class Mixtures:
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.languages)), dtype=np.float32)
-        self.known = 0
-
-    def place(self, word: str) -> int:
-        """The row of a word's log-likelihoods, or -1 if it has no letter."""
-        if not (own := letters(word.lower())):
-            return -1
-        if self.known == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.known] = self.log_p[grams(own)].sum(axis=0)
-        self.known += 1
-        return self.known - 1
+        self.cleaned: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.languages)), dtype=np.float32)
+
+    def learn(self, words) -> None:
+        """Gives new words the row of their log-likelihoods, or -1 if they have no letter."""
+        own = {w: letters(w.lower()) for w in words if w not in self.places}
+        new = list(dict.fromkeys(c for c in own.values() if c and c not in self.cleaned))
+        if new:
+            bins, there, starts = grams(new)
+            log = sum(self.log_p[b] * t[:, None] for b, t in zip(bins, there, strict=True))
+            self.cleaned |= {c: len(self.rows) + i for i, c in enumerate(new)}
+            self.rows = np.concatenate([self.rows, np.add.reduceat(log, starts, axis=0)])
+        self.places |= {w: self.cleaned[c] if c else -1 for w, c in own.items()}
 
     def shares(self, p: np.ndarray, starts: np.ndarray, of: np.ndarray, allowed: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Expectation-maximisation for all documents at once. p: likelihoods of words by language,
@@ -78,14 +89,11 @@ class Mixtures:
         return pi
 
     def infer(self, texts: list[str]) -> list[tuple[str, float]]:
-        if self.known > CACHE_ENTRIES:
+        if len(self.places) > CACHE_ENTRIES:
             self.forget()
-        held = []
-        for text in texts:
-            words = text.split()
-            for w in {*words}:
-                if w not in self.places:
-                    self.places[w] = self.place(w)
+        held, split = [], [text.split() for text in texts]
+        self.learn(set().union(*split))
+        for words in split:
             at = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
             held.append(at[at >= 0])
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
@@ -154,10 +162,15 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text
                 for w in text.split():
                     own[w] = own.get(w, 0) + 1
         for lang, own in words.items():
-            bins = np.zeros(BINS, dtype=np.int64)
+            cleaned: dict[str, int] = {}
             for w, n in own.items():
-                if cleaned := letters(w.lower()):
-                    np.add.at(bins, grams(cleaned), n)
+                if c := letters(w.lower()):
+                    cleaned[c] = cleaned.get(c, 0) + n
+            if not cleaned:
+                continue
+            found, there, _ = grams(list(cleaned))
+            weights = np.repeat(np.array(list(cleaned.values()), dtype=np.float64), [len(c) + 2 for c in cleaned])
+            bins = sum(np.bincount(b[t], weights[t], BINS) for b, t in zip(found, there, strict=True)).astype(np.int64)
             at = np.flatnonzero(bins)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(bins[at])], names=["lang", "bin", "n"])
 
