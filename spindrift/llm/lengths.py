@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import lengths
+from .common import written
 
 #: Lengths in one part of the two-level sums: no task orders more than these, or one row for each part.
 PART = 1024
@@ -26,8 +27,9 @@ def histogram(encoded: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """Adds to each length, taken as the context limit: documents and tokens at most so long,
-    documents and tokens beyond, and tokens left if longer documents are truncated to it."""
-    parts = counts.withColumn("part", F.floor(F.col("length") / PART))
+    documents and tokens beyond, and tokens left if longer documents are truncated to it. The
+    counts are written first, as they are read twice."""
+    parts = written(counts, "histogram").withColumn("part", F.floor(F.col("length") / PART))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy("part")
