@@ -334,9 +334,9 @@ def array_diff(spark, sf_dir):
 
 
 def _conversation_states(spark, sf_dir):
-    """Growing states of conversations: the turn, its role, and its first words as a list."""
+    """Growing states of conversations: the turn, its role, and all words of its text as a list."""
     c = _t(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
-    words = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 5)
+    words = F.split(F.coalesce("text", F.lit("")), " ")
     doc = F.to_json(F.struct("turn", "role", words.alias("words"), F.struct((F.col("turn") % 2).alias("side")).alias("meta")))
     return c.select("conv_id", "turn", doc.alias("doc"))
 

@@ -1,11 +1,13 @@
 """Every query of the catalogue against its SQL in DuckDB."""
 
+import json
 import math
 import os
 
 import duckdb
 import pytest
 
+from spindrift import queries
 from spindrift.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +44,12 @@ def test_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_conversation_states_hold_whole_texts(spark):
+    texts = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id is not null and turn is not null").collect()}
+    states = {(r.conv_id, r.turn): json.loads(r.doc)["words"] for r in queries._conversation_states(spark, SF).collect()}
+    assert states == {k: t.split(" ") for k, t in texts.items()} and max(map(len, states.values())) > 5
+
+
 def test_front_coding_gives_the_words_back(spark):
     for rows in _by(QUERIES["front_coding"](spark, SF).collect(), "p_brand"):
         before = ""
