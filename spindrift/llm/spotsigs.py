@@ -37,21 +37,22 @@ _MARK = "\x01"
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "signatures") -> DataFrame:
     """Adds the sorted array of distinct signature hashes of a text column."""
-    w, s, r = f"__{out}_w", f"__{out}_s", f"__{out}_r"
+    w, s, c = f"__{out}_w", f"__{out}_s", f"__{out}_c"
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn(w, F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda x: x != ""))
-    # each anchor begins a stretch: the anchor, then the content words up to the next one
-    marked = F.array_join(F.transform(w, lambda x: F.concat(F.when(x.isin(ANCHORS), F.lit(_MARK)).otherwise(F.lit(" ")), x)), "")
+    # each content word begins a stretch: the word, then the anchors up to the next one
+    marked = F.array_join(F.transform(w, lambda x: F.concat(F.when(x.isin(ANCHORS), F.lit(" ")).otherwise(F.lit(_MARK)), x)), "")
     df = df.withColumn(s, F.split(marked, _MARK))
-    df = df.withColumn(r, F.transform(s, lambda x: F.when(F.instr(x, " ") > 0, x.substr(F.instr(x, " "), F.length(x))).otherwise("")))
-    after = lambda i: F.coalesce(F.get(r, i), F.lit(""))
-    chain = lambda x, i: F.concat(F.substring_index(x, " ", 1), F.substring_index(F.concat(after(i), after(i + 1), after(i + 2), after(i + 3)), " ", CHAIN + 1))
-    # what stands before the first anchor is stretch 0, which has none
-    chains = F.filter(F.transform(s, lambda x, i: F.when(i > 0, chain(x, i)).otherwise("")), lambda c: F.instr(c, " ") > 0)
-    df = df.withColumn(out, F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.hash(c)))))
+    df = df.withColumn(c, F.transform(s, lambda x: F.substring_index(x, " ", 1)))
+    # all anchors of a stretch have the words that begin the next ones; stretch 0 has no word of its own
+    anchors = lambda x: F.filter(F.split(x, " "), lambda a, k: k > 0)
+    chain = lambda a, i: F.hash(F.concat_ws(" ", a, *(F.get(c, i + k) for k in range(1, CHAIN + 1))))
+    none = F.array().cast("array<int>")
+    chains = F.transform(s, lambda x, i: F.when((F.instr(x, " ") > 0) & (i + 1 < F.size(s)), F.transform(anchors(x), lambda a: chain(a, i))).otherwise(none))
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.flatten(chains))))
     whole = F.when(F.size(w) > 0, F.hash(F.array_join(w, " "))).otherwise(F.hash(text))
-    found = F.when(F.size(out) > 0, F.col(out)).when(F.length(text) > 0, F.array(whole)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, found).drop(w, s, r)
+    found = F.when(F.size(out) > 0, F.col(out)).when(F.length(text) > 0, F.array(whole)).otherwise(none)
+    return df.withColumn(out, found).drop(w, s, c)
 
 
 def as_text(signatures: str) -> Column:

@@ -55,6 +55,28 @@ def test_spot_signatures(docs, nothing):
     assert spotsigs.with_fingerprint(nothing.select("text")).count() == 0
 
 
+def all_spots(text):
+    """Spot signatures, plainly, over any number of further anchors."""
+    w = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
+    out, following = set(), []
+    for x in reversed(w):
+        if x not in spotsigs.ANCHORS:
+            following = [x, *following][: spotsigs.CHAIN]
+        elif following:
+            out.add((x, *following))
+    return out or ({("", *w)} if w else {("", text)} if text else set())
+
+
+def test_spot_signatures_pass_any_number_of_anchors(spark, docs):
+    run = "the of and to in is that it"
+    texts = [f"{run} river {run} stone", f"{run} river", f"river {run}", run, f"river {run} stone cloud the"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    for r in spotsigs.with_fingerprint(made).collect():
+        assert len(r.signatures) == len(all_spots(r.text))
+    want = spark.range(1).select(*(F.hash(F.lit(f"{a} river stone")).alias(a) for a in run.split()), *(F.hash(F.lit(f"{a} stone")).alias(f"{a}2") for a in run.split())).first()
+    assert spotsigs.with_fingerprint(made).where("doc_id = 0").where(F.col("text") == texts[0]).first().signatures == sorted(want)
+
+
 def test_next_document(docs, nothing):
     rows = spotsigs.with_next(docs.where("doc_id <> 15").select("doc_id", "text"), "doc_id", ["text"]).collect()
     texts = {r.doc_id: r.text for r in rows}
