@@ -70,30 +70,57 @@ def likeness(a: str, b: str, at_least: float = 0.0) -> Column:
     return out.otherwise(shared / (m + n - shared))
 
 
+def classes(df: DataFrame, id_col: str = "doc_id", signatures: str = "signatures") -> DataFrame:
+    """(s, id, n), written: the distinct sets, the least id with each, their lengths. Empty sets have none."""
+    held = df.select(F.col(id_col).alias("id"), F.col(signatures).alias("s")).where(F.size(signatures) > 0)
+    return written(held.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s")), "classes")
+
+
 def near(df: DataFrame, id_col: str = "doc_id", signatures: str = "signatures", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): each document's representative (the least id with the same set), and the
-    pairs of representatives with a likeness of at least threshold. Empty sets are alike with none.
+    pairs of representatives with a likeness of at least threshold. Empty sets are alike with none."""
+    # written first: a filter on the sets would else be pushed into what computes them
+    held = written(df.select(id_col, signatures), "fingerprints")
+    reps = classes(held, id_col, signatures)
+    of_class = reps.select(F.col("s").alias(signatures), F.col("id").alias("representative"))
+    members = held.join(of_class, signatures).select(F.col(id_col).alias("id"), "representative").distinct()
+    return members, near_classes(reps, threshold)
+
 
-    Representatives are dealt by their rarest signatures (as many as a near set can't all miss)
+def near_classes(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, likeness): the pairs of classes with a likeness of at least threshold, by their ids.
+
+    Classes are dealt by their rarest signatures (as many as a near set can't all miss)
     and by their length's partition; a set also probes the partition of longer ones next to its
-    own. Frequent signatures come last, so that what many documents share opens no comparison."""
-    # written first: a filter on the sets would else be pushed into what computes them
-    held = written(df.select(F.col(id_col).alias("id"), F.col(signatures).alias("s")), "fingerprints").where(F.size("s") > 0)
-    members = held.select("id", "s", F.min("id").over(Window.partitionBy("s")).alias("representative")).drop("s").distinct()
-    reps = held.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
+    own. Frequent signatures come last, so that what many documents share opens no comparison;
+    those that one class alone has come first and are only counted."""
+    reps = reps.where("id is not null")
     each = reps.select("id", "n", F.explode("s").alias("x"))
-    frequency = each.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "x"))
-    prefix = each.join(frequency, "x").withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("f > 1")
+    frequency = each.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    by_id = Window.partitionBy("id")
+    rank = F.row_number().over(by_id.orderBy("f", "x")) + F.col("n") - F.count(F.lit(1)).over(by_id)
+    prefix = each.join(frequency, "x").withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("n")
-    prefix = prefix.withColumn("part", part).select("x", "part", "id", "n")
+    prefix = written(prefix.withColumn("part", part).select("x", "part", "id", "n"), "prefix")
     probes = prefix.select("x", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("na"))
     met = probes.join(prefix.select("x", "part", F.col("id").alias("b"), F.col("n").alias("nb")), ["x", "part"])
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     pairs = met.where(ordered & (F.col("na") >= threshold * F.col("nb") - 1e-9)).select("a", "b").distinct()
     sets = reps.select("id", "s")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return members, full.select("a", "b", likeness("sa", "sb", threshold).alias("likeness")).where(F.col("likeness") >= threshold)
+    return full.select("a", "b", likeness("sa", "sb", threshold).alias("likeness")).where(F.col("likeness") >= threshold)
+
+
+def with_nearest(df: DataFrame, id_col: str, signatures: str, threshold: float = 0.8) -> DataFrame:
+    """Adds class_id, the least id with the same set (null for empty sets and those of null ids
+    only), and nearest_id, the id of the other class that is most alike (of equals the least), if
+    one has a likeness of at least threshold. df is read twice."""
+    reps = classes(df, id_col, signatures)
+    pairs = near_classes(reps, threshold)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "likeness"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "likeness"))).alias("p")).select("p.*")
+    nearest = both.groupBy("id").agg(F.min_by("other", F.struct(-F.col("likeness"), "other")).alias("nearest_id"))
+    of_class = reps.join(nearest, "id", "left").select(F.col("s").alias(signatures), F.col("id").alias("class_id"), "nearest_id")
+    return df.join(of_class, signatures, "left")
 
 
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -130,12 +157,14 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
     docs = docs.withColumn("edited", edited).withColumn("n_chars", n.cast("long"))
     docs = with_fingerprint(docs.drop("text", "next_text"), "edited", "edited_signatures")
-    return docs.select(
+    found = docs.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
-        as_text("signatures").alias("fingerprint"),
+        "signatures",
         as_text("edited_signatures").alias("edited_fingerprint"),
         likeness("signatures", "edited_signatures").alias("near_edited"),
         likeness("signatures", "next_signatures").alias("near_next"),
     )
+    found = with_nearest(written(found, "fingerprints"), "doc_id", "signatures")
+    return found.select("doc_id", "n_chars", "edited_sha256", as_text("signatures").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "nearest_id")

@@ -290,3 +290,20 @@ def test_digest_query_of_fingerprints(spark):
         assert got[r.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[r.doc_id].n_chars == len(r.text)
         a, b = spots(r.text), spots(edited)
         assert got[r.doc_id].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_query_of_fingerprints_seeks_near_ones(spark):
+    rows = spotsigs.op1_spotsigs(spark, SF).collect()
+    sets = {r.doc_id: frozenset(re.findall("." * 8, r.fingerprint)) for r in rows}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    like = lambda a, b: len(a & b) / len(a | b)
+    nearest = {}
+    for a, i in first.items():
+        near = [(-like(a, b), j) for b, j in first.items() if i != j and a and b and like(a, b) >= 0.8]
+        nearest[i] = min(near)[1] if near else None
+    assert len(rows) == len(sets) == 200 and any(nearest.values())
+    for r in rows:
+        assert r.class_id == (first[sets[r.doc_id]] if r.fingerprint else None)
+        assert r.nearest_id == (nearest[r.class_id] if r.fingerprint else None)
