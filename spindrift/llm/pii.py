@@ -60,8 +60,8 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _ANY = re.compile("|".join(f"(?P<t_{kind}>{p.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, p in PATTERNS.items()))
-#: Texts without any of these hold no entity; the search is left to the JVM.
-HINT = r"[@0-9]|(?i:password|passwd|pwd|token|secret|key)|(?:" + "|".join(TITLES) + ")"
+#: Texts without any of these hold no entity; the search is left to the JVM (a Java pattern).
+HINT = r"[@\p{Nd}]|(?iu:password|passwd|pwd|token|secret|key)|AKIA|ASIA|gh[pos]_|sk-|(?:" + "|".join(TITLES) + ")"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
