@@ -8,8 +8,9 @@ without the key.
 
 Distinct entities keep distinct surrogates. Formats of characters are permuted within themselves (a
 keyed Feistel network over the mixed-radix number that the characters spell), which is one to one.
-Names are drawn, so a check over the distinct entities of the corpus finds those drawn alike, which
-are drawn again until none is left; all other surrogates are checked in the same way.
+Names get syllables that spell a keyed permutation of theirs, which is one to one as well, so that
+their surrogates don't depend on the rest of the corpus. A check over the distinct entities of the
+corpus finds surrogates that agree across formats of a type; those are made again until none is left.
 
 Null texts stay null, empty texts empty; a text without entities is returned as it is. Texts are
 searched whole. Repeated rows are replaced alike. Columns other than the text keep their values.
@@ -17,6 +18,7 @@ searched whole. Repeated rows are replaced alike. Columns other than the text ke
 
 import hashlib
 import hmac
+import math
 import re
 
 import pandas as pd
@@ -29,8 +31,6 @@ from .common import table, written
 
 #: The query's key; a deployment passes its own secret.
 KEY = b"spindrift demonstration key"
-#: Entities drawn again that are sent to the executors at most; beyond that, names get another syllable.
-MAX_REDRAWN = 100_000
 
 #: Titles by the gender that they tell (m, f, or none).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Г-н": "m", "Г-жа": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
@@ -129,8 +129,35 @@ def normal(kind: str, mention: str) -> str:
     return mention.lower() if kind in ("email", "surname") or kind.startswith("given") else mention
 
 
+#: Letters that names are mostly of, by script; each becomes a syllable.
+LETTERS = {"latin": _LOWER, "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "greek": "αβγδεζηθικλμνξοπρςστυφχψωάέήίόύώ"}
+
+
+def spelt(name: str, key: bytes) -> str:
+    """Syllables of the name's script for a name, one to one: a keyed permutation within its number
+    of letters, or, for names with others, of bytes; these end with a further vowel."""
+    script = script_of(name)
+    consonants, vowels, _ = SYLLABLES[script]
+    base, letters = len(consonants) * len(vowels), LETTERS[script]
+    plain = all(c in letters for c in name)
+    if plain:
+        value, places = 0, len(name)
+        for c in name:
+            value = value * len(letters) + letters.index(c)
+    else:
+        data = name.encode()
+        # more than one place a byte, so that their number tells the number of bytes
+        value, places = int.from_bytes(data, "big"), math.ceil(len(data) * 8 / math.log2(base))
+    value, out = permuted(value, base**places, key), []
+    for _ in range(places):
+        value, syllable = divmod(value, base)
+        out.append(consonants[syllable // len(vowels)] + vowels[syllable % len(vowels)])
+    return "".join(out) + ("" if plain else vowels[0])
+
+
 def surrogate(kind: str, entity: str, key: bytes, draw: int = 0, syllables: int = 4) -> str:
-    """The surrogate of an entity in normal form. kind: a type, given:<gender> or surname."""
+    """The surrogate of an entity in normal form. kind: a type, given:<gender> or surname. Names of
+    draw 0 are short but may agree; those of any other draw are one to one."""
     keyed = hmac.new(key, f"{kind.partition(':')[0]}:{draw}".encode(), hashlib.sha256).digest()
     if kind == "card" and luhn_digit(entity[:-1]) == entity[-1]:
         payload = entity[0] + same_format(entity[1:-1], keyed)
@@ -171,9 +198,11 @@ def surrogate(kind: str, entity: str, key: bytes, draw: int = 0, syllables: int
     if kind.startswith("given"):
         drawn = int.from_bytes(hmac.new(keyed, entity.encode(), hashlib.sha256).digest()[:8], "big")
         names = GIVEN[script_of(entity), kind[6:]] if kind[6:] else sum((GIVEN[script_of(entity), g] for g in "fm"), [])
-        # a list has few names: what keeps two entities apart is a further letter pair where drawn again
-        more = "" if not draw else "".join(SYLLABLES[script_of(entity)][1][int.from_bytes(keyed[i : i + 1], "big") % 5] + SYLLABLES[script_of(entity)][0][int.from_bytes(keyed[i + 1 : i + 2], "big") % 10] for i in range(0, 2 * min(draw, 8), 2))
+        # a list has few names: what keeps two entities apart is spelt after it
+        more = spelt(entity, keyed) if draw else ""
         return names[drawn % len(names)].lower() + more
+    if kind == "surname" and draw:
+        return spelt(entity, keyed) + SYLLABLES[script_of(entity)][2][0]
     if kind == "surname":
         drawn = int.from_bytes(hmac.new(keyed, entity.encode(), hashlib.sha256).digest(), "big")
         consonants, vowels, ends = SYLLABLES[script_of(entity)]
@@ -227,11 +256,16 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
 
 
 class Replacer:
-    def __init__(self, key: bytes, redrawn: dict[tuple[str, str], int], syllables: int):
-        self.key, self.redrawn, self.syllables = key, redrawn, syllables
+    """names: the draw of names that aren't in redrawn."""
+
+    def __init__(self, key: bytes, redrawn: dict[tuple[str, str], int], syllables: int, names: int = 0):
+        self.key, self.redrawn, self.syllables, self.names = key, redrawn, syllables, names
+
+    def draw(self, kind: str, entity: str) -> int:
+        return self.redrawn.get((kind, entity), self.names if kind == "surname" or kind.startswith("given") else 0)
 
     def made(self, kind: str, entity: str) -> str:
-        return surrogate(kind, entity, self.key, self.redrawn.get((kind, entity), 0), self.syllables)
+        return surrogate(kind, entity, self.key, self.draw(kind, entity), self.syllables)
 
     def replace(self, text: str) -> tuple[str, list[str]]:
         out, at, kinds = [], 0, []
@@ -255,46 +289,40 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.where(F.col(text_col).rlike(HINT)).select(text_col).mapInArrow(over, "kind string, entity string").distinct()
 
 
-def collisions(held: DataFrame, key: bytes, syllables: int) -> dict[tuple[str, str], int] | None:
-    """How often entities have to be drawn again for no two surrogates of a kind to agree; None if
-    more than MAX_REDRAWN would be. Of entities drawn alike, the least keeps its draw. Only those
-    drawn again reach the driver."""
+def collisions(held: DataFrame, key: bytes, syllables: int, names: int = 0) -> dict[tuple[str, str], int]:
+    """Draws of the entities that have to be made again for no two surrogates of a kind to agree. Of
+    entities made alike, the least keeps its draw. Only those made again reach the driver: with
+    one-to-one names (a draw other than 0) the rare ones that agree across formats of their type."""
     redrawn: dict[tuple[str, str], int] = {}
     while True:
         state = held.sparkSession.sparkContext.broadcast(redrawn)
 
         @F.pandas_udf("string")
         def made(kind: pd.Series, entity: pd.Series) -> pd.Series:
-            replacer = Replacer(key, state.value, syllables)
+            replacer = Replacer(key, state.value, syllables, names)
             return pd.Series([replacer.made(k, e) for k, e in zip(kind, entity, strict=True)], dtype=object)
 
         # a given name is one name, whichever title came first
         group = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
         drawn = held.withColumn("made", made("kind", "entity")).withColumn("group", group)
         least = drawn.groupBy("group", "made").agg(F.min("entity").alias("keeps"), F.max("entity").alias("last")).where("keeps <> last")
-        losers = drawn.join(least, ["group", "made"]).where("entity <> keeps").select("kind", "entity").limit(MAX_REDRAWN + 1).collect()
+        losers = drawn.join(least, ["group", "made"]).where("entity <> keeps").select("kind", "entity").collect()
         if not losers:
             return redrawn
-        if len(losers) + len(redrawn) > MAX_REDRAWN:
-            return None
-        for r in losers:
-            redrawn[r["kind"], r["entity"]] = redrawn.get((r["kind"], r["entity"]), 0) + 1
+        last = Replacer(key, redrawn, syllables, names)
+        redrawn = redrawn | {(r["kind"], r["entity"]): last.draw(r["kind"], r["entity"]) + 1 for r in losers}
 
 
 def replace_entities(df: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """df with the entities of its texts replaced, n_entities, and entity_kinds (their kinds in
     order, joined by commas). Columns of df of these names give way."""
     found = written(entities(df, text_col), "entities")
-    syllables = 4
-    while (redrawn := collisions(found, key, syllables)) is None:
-        syllables += 1
-        if syllables > 12:
-            raise RuntimeError("more given names than can be kept apart by redrawing; raise MAX_REDRAWN")
+    redrawn = collisions(found, key, 4, 1)
     state = df.sparkSession.sparkContext.broadcast(redrawn)
 
     @F.pandas_udf("text string, n bigint, kinds string")
     def replaced(text: pd.Series) -> pd.DataFrame:
-        replacer = Replacer(key, state.value, syllables)
+        replacer = Replacer(key, state.value, 4, 1)
         rows = [(None, 0, "") if t is None else (lambda out: (out[0], len(out[1]), ",".join(out[1])))(replacer.replace(t)) for t in text]
         return pd.DataFrame(rows, columns=["text", "n", "kinds"])
 
