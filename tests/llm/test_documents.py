@@ -336,4 +336,4 @@ def test_names_do_not_depend_on_the_corpus(spark):
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.replace_entities(df).collect()}
     assert all(len({x.split()[k] for x in out.values()}) == len(names) for k in (1, 2))
-    assert pii.replace_entities(df.where("doc_id = 9")).first().text == out[9]
+    assert all(r.text == out[r.doc_id] for r in pii.replace_entities(df.where("doc_id >= 650")).collect())
