@@ -1,15 +1,25 @@
-"""What the corpus operators share: reading tables, the shared folder, cutting lineage."""
+"""What the corpus operators share: reading tables, the shared folder, cutting lineage, texts in Python."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; words are runs of anything else.
 SPACE_CLASS = r"\x20\x09-\x0D"
+#: Rows and bytes of an Arrow batch of texts at most, and bytes of text that a Python worker takes up
+#: at once (a longer text is taken up alone).
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 1024, 8 << 20, 1 << 20
+
+_KEPT: dict[Any, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,3 +64,39 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small enough that a batch of long texts takes little memory
+    on either side. They stay so, as what is planned now runs later."""
+    conf = spark.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def map_texts(df: DataFrame, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over rows that hold texts, in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(over, schema)
+
+
+def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch with so many bytes of text each, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """make(), kept in this Python worker until another key is asked for. Workers outlive tasks and
+    operators; so what one operator learned doesn't stay while the next one runs."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]

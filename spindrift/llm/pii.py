@@ -8,14 +8,20 @@ without the key.
 
 Distinct entities keep distinct surrogates. Formats of characters are permuted within themselves (a
 keyed Feistel network over the mixed-radix number that the characters spell), which is one to one.
-Names get syllables that spell a keyed permutation of theirs, which is one to one as well, so that
-their surrogates don't depend on the rest of the corpus. A check over the distinct entities of the
-corpus finds surrogates that agree across formats of a type; those are made again until none is left.
+Names get syllables that spell a keyed permutation of theirs, which is one to one as well. A check
+over the distinct entities of the corpus finds surrogates that agree across formats of a type; those
+are made again until none is left.
+
+Names are detected behind a title, and then wherever their parts stand alone in the same text. A
+given name is one entity whichever title comes before it (or none): its gender is the one that most
+titles of the corpus give it, or, if they say nothing, the one that its form suggests.
 
 Null texts stay null, empty texts empty; a text without entities is returned as it is. Texts are
-searched whole. Repeated rows are replaced alike. Columns other than the text keep their values.
+searched whole. Repeated rows are replaced alike; an empty table gives no rows. Columns other than
+the text keep their values, but for n_entities and entity_kinds, which give way to those made here.
 """
 
+import bisect
 import hashlib
 import hmac
 import math
@@ -26,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import pieces_of
-from .common import table, written
+from .common import discard, map_texts, slices, small_batches, table, written
 
 #: The query's key; a deployment passes its own secret.
 KEY = b"spindrift demonstration key"
@@ -60,8 +65,23 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _ANY = re.compile("|".join(f"(?P<t_{kind}>{p.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, p in PATTERNS.items()))
-#: Texts without any of these hold no entity; the search is left to the JVM (a Java pattern).
-HINT = r"[@\p{Nd}]|(?iu:password|passwd|pwd|token|secret|key)|AKIA|ASIA|gh[pos]_|sk-|(?:" + "|".join(TITLES) + ")"
+_DIGIT = re.compile(r"\d")
+_ASSIGNED = ("password", "passwd", "pwd", "token", "secret", "key")
+_KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-")
+#: Entities whose draw or gender isn't the one that they have by themselves, that are broadcast at
+#: most (some 300 bytes each in a worker); beyond, texts meet theirs in a join.
+BROADCAST_ENTITIES = 1 << 17
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold an entity; if not, the search is left out."""
+    if "@" in text or _DIGIT.search(text) or any(map(text.__contains__, _KEY_STARTS)) or any(map(text.__contains__, TITLES)):
+        return True
+    if "=" not in text and ":" not in text:
+        return False
+    folded = text.casefold()
+    return any(map(folded.__contains__, _ASSIGNED))
+
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -126,7 +146,17 @@ def normal(kind: str, mention: str) -> str:
     """What mentions of one entity have in common."""
     if kind in ("card", "phone", "iban", "ssn"):
         return "".join(c for c in mention if c.isalnum() or c == "+")
-    return mention.lower() if kind in ("email", "surname") or kind.startswith("given") else mention
+    return mention.lower() if kind in ("email", "surname", "given") else mention
+
+
+def likely_gender(name: str) -> str:
+    """The gender of a given name in normal form that no title tells: that of the list which has it,
+    else by its last letter."""
+    script = script_of(name)
+    for gender in "mf":
+        if name.capitalize() in GIVEN[script, gender]:
+            return gender
+    return "f" if name[-1] in {"latin": "aei", "cyrillic": "ая", "greek": "αάηήώ"}[script] else "m"
 
 
 #: Letters that names are mostly of, by script; each becomes a syllable.
@@ -155,10 +185,10 @@ def spelt(name: str, key: bytes) -> str:
     return "".join(out) + ("" if plain else vowels[0])
 
 
-def surrogate(kind: str, entity: str, key: bytes, draw: int = 0, syllables: int = 4) -> str:
-    """The surrogate of an entity in normal form. kind: a type, given:<gender> or surname. Names of
-    draw 0 are short but may agree; those of any other draw are one to one."""
-    keyed = hmac.new(key, f"{kind.partition(':')[0]}:{draw}".encode(), hashlib.sha256).digest()
+def surrogate(kind: str, entity: str, key: bytes, draw: int = 0, gender: str = "") -> str:
+    """The surrogate of an entity in normal form. kind: a type, given or surname; gender: a given
+    name's, if it isn't the likely one. One to one for each format and draw."""
+    keyed = hmac.new(key, f"{kind}:{draw}".encode(), hashlib.sha256).digest()
     if kind == "card" and luhn_digit(entity[:-1]) == entity[-1]:
         payload = entity[0] + same_format(entity[1:-1], keyed)
         return payload + luhn_digit(payload)
@@ -195,23 +225,13 @@ def surrogate(kind: str, entity: str, key: bytes, draw: int = 0, syllables: int
         return entity[:cut] + same_format(entity[cut:], keyed)
     if kind == "secret":
         return same_format(entity, keyed, bool(re.fullmatch("[0-9a-f]+", entity)))
-    if kind.startswith("given"):
+    if kind == "given":
         drawn = int.from_bytes(hmac.new(keyed, entity.encode(), hashlib.sha256).digest()[:8], "big")
-        names = GIVEN[script_of(entity), kind[6:]] if kind[6:] else sum((GIVEN[script_of(entity), g] for g in "fm"), [])
+        names = GIVEN[script_of(entity), gender or likely_gender(entity)]
         # a list has few names: what keeps two entities apart is spelt after it
-        more = spelt(entity, keyed) if draw else ""
-        return names[drawn % len(names)].lower() + more
-    if kind == "surname" and draw:
-        return spelt(entity, keyed) + SYLLABLES[script_of(entity)][2][0]
+        return names[drawn % len(names)].lower() + spelt(entity, keyed)
     if kind == "surname":
-        drawn = int.from_bytes(hmac.new(keyed, entity.encode(), hashlib.sha256).digest(), "big")
-        consonants, vowels, ends = SYLLABLES[script_of(entity)]
-        out = ""
-        for _ in range(syllables):
-            drawn, c = divmod(drawn, len(consonants))
-            drawn, v = divmod(drawn, len(vowels))
-            out += consonants[c] + vowels[v]
-        return out + ends[drawn % len(ends)]
+        return spelt(entity, keyed) + SYLLABLES[script_of(entity)][2][0]
     return same_format(entity, keyed)
 
 
@@ -222,113 +242,138 @@ def dressed(kind: str, mention: str, made: str) -> str:
         return "".join(next(characters) if c.isalnum() or c == "+" else c for c in mention)
     if kind == "email":
         return made.upper() if mention.isupper() else made
-    if kind in ("surname",) or kind.startswith("given"):
+    if kind in ("surname", "given"):
         return made.upper() if mention.isupper() and len(mention) > 1 else made[:1].upper() + made[1:]
     return made
 
 
-def mentions(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all entities, in order. Names give their parts; a surname that was met
-    with a title is found again where it stands alone."""
-    found, surnames = [], set()
+def mentions(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, gender) of all entities, in order; gender: what a title tells of a given
+    name, else empty. Names give their parts; parts that were met with a title are found again
+    where they stand alone, a word that was both as a given name."""
+    found, names = [], {}
     for m in _ANY.finditer(text):
         kind = m.lastgroup if m.lastgroup and m.lastgroup.startswith("t_") else next(g for g, v in m.groupdict().items() if v is not None and g.startswith("t_"))
         kind = kind[2:]
         if kind == "secret":
-            found.append((m.start("secret"), m.end("secret"), "secret"))
+            found.append((m.start("secret"), m.end("secret"), "secret", ""))
         elif kind == "name":
-            title, *names = [(m.start() + x.start(), x[0]) for x in re.finditer(r"\S+", m[0])]
-            gender = TITLES[title[1].rstrip(".")]
-            if len(names) == 2:
-                found.append((names[0][0], names[0][0] + len(names[0][1]), f"given:{gender}"))
-            found.append((names[-1][0], names[-1][0] + len(names[-1][1]), "surname"))
-            surnames.add(names[-1][1])
+            title, *parts = [(m.start() + x.start(), x[0]) for x in re.finditer(r"\S+", m[0])]
+            for (at, part), of in zip(parts, ["given", "surname"][-len(parts) :], strict=True):
+                found.append((at, at + len(part), of, TITLES[title[1].rstrip(".")] if of == "given" else ""))
+                if names.get(part) != "given":
+                    names[part] = of
         else:
-            found.append((m.start(), m.end(), kind))
-    if surnames:
-        taken = {a for a, _, _ in found}
-        again = re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})(?!\w)", text)
+            found.append((m.start(), m.end(), kind, ""))
+    if names:
         spans = sorted(found)
-        for m in again:
-            if m.start() not in taken and not any(a < m.end() and m.start() < b for a, b, _ in spans):
-                found.append((m.start(), m.end(), "surname"))
+        ends = [b for _, b, _, _ in spans]
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
+            at = bisect.bisect_right(ends, m.start())  # the first span that ends behind it
+            if at == len(spans) or spans[at][0] >= m.end():
+                found.append((m.start(), m.end(), names[m[0]], ""))
     return sorted(found)
 
 
-class Replacer:
-    """names: the draw of names that aren't in redrawn."""
-
-    def __init__(self, key: bytes, redrawn: dict[tuple[str, str], int], syllables: int, names: int = 0):
-        self.key, self.redrawn, self.syllables, self.names = key, redrawn, syllables, names
-
-    def draw(self, kind: str, entity: str) -> int:
-        return self.redrawn.get((kind, entity), self.names if kind == "surname" or kind.startswith("given") else 0)
-
-    def made(self, kind: str, entity: str) -> str:
-        return surrogate(kind, entity, self.key, self.draw(kind, entity), self.syllables)
-
-    def replace(self, text: str) -> tuple[str, list[str]]:
-        out, at, kinds = [], 0, []
-        for start, end, kind in mentions(text):
-            mention = text[start:end]
-            out += [text[at:start], dressed(kind, mention, self.made(kind, normal(kind, mention)))]
-            kinds.append(kind.partition(":")[0])
-            at = end
-        return "".join([*out, text[at:]]), kinds
+def replace(text: str, key: bytes, exceptions: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[str]]:
+    """The text with its entities replaced, and their kinds in order. exceptions: the draw and the
+    gender of entities that haven't those they have by themselves."""
+    out, at, kinds = [], 0, []
+    for start, end, kind, _ in mentions(text):
+        entity = normal(kind, text[start:end])
+        out += [text[at:start], dressed(kind, text[start:end], surrogate(kind, entity, key, *exceptions.get((kind, entity), ())))]
+        kinds.append(kind)
+        at = end
+    return "".join([*out, text[at:]]), kinds
 
 
 def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct (kind, entity) of all texts; texts without a hint don't leave the JVM."""
+    """(kind, entity, gender) of all texts, each once; gender: that which most titles give a given
+    name where it isn't the likely one, else empty."""
 
     def over(batches):
         for batch in batches:
-            for part in pieces_of(batch):
-                own = {(kind, normal(kind, t[a:b])) for t in part.column(0).to_pylist() for a, b, kind in mentions(t)}
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([e for _, e in own], pa.string())], names=["kind", "entity"])
+            for part in slices(batch, 0):
+                own: dict[tuple[str, str], int] = {}
+                for t in part.column(0).to_pylist():
+                    for a, b, kind, gender in mentions(t) if t and hinted(t) else ():
+                        entity = kind, normal(kind, t[a:b])
+                        own[entity] = own.get(entity, 0) + (gender == "m") - (gender == "f")
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([e for _, e in own], pa.string()), pa.array(own.values(), pa.int64())], names=["kind", "entity", "more_m"])
 
-    return df.where(F.col(text_col).rlike(HINT)).select(text_col).mapInArrow(over, "kind string, entity string").distinct()
+    @F.pandas_udf("string")
+    def unlike(entity: pd.Series, told: pd.Series) -> pd.Series:
+        return pd.Series([g if g and g != likely_gender(e) else "" for e, g in zip(entity, told, strict=True)], dtype=object)
 
+    found = map_texts(df.select(text_col), over, "kind string, entity string, more_m bigint").groupBy("kind", "entity").agg(F.sum("more_m").alias("more_m"))
+    told = F.when(F.col("more_m") > 0, "m").when(F.col("more_m") < 0, "f").otherwise("")
+    return found.select("kind", "entity", unlike("entity", told).alias("gender"))
 
-def collisions(held: DataFrame, key: bytes, syllables: int, names: int = 0) -> dict[tuple[str, str], int]:
-    """Draws of the entities that have to be made again for no two surrogates of a kind to agree. Of
-    entities made alike, the least keeps its draw. Only those made again reach the driver: with
-    one-to-one names (a draw other than 0) the rare ones that agree across formats of their type."""
-    redrawn: dict[tuple[str, str], int] = {}
-    while True:
-        state = held.sparkSession.sparkContext.broadcast(redrawn)
 
-        @F.pandas_udf("string")
-        def made(kind: pd.Series, entity: pd.Series) -> pd.Series:
-            replacer = Replacer(key, state.value, syllables, names)
-            return pd.Series([replacer.made(k, e) for k, e in zip(kind, entity, strict=True)], dtype=object)
+def drawn(found: DataFrame, key: bytes) -> DataFrame:
+    """Adds draw, written: 0, or more where surrogates of a kind would agree. Of entities made alike,
+    the least keeps its draw and the others get the next one, until all differ."""
+
+    @F.pandas_udf("string")
+    def made(kind: pd.Series, entity: pd.Series, draw: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(*x) for x in zip(kind, entity, [key] * len(kind), draw, gender, strict=True)], dtype=object)
 
-        # a given name is one name, whichever title came first
-        group = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
-        drawn = held.withColumn("made", made("kind", "entity")).withColumn("group", group)
-        least = drawn.groupBy("group", "made").agg(F.min("entity").alias("keeps"), F.max("entity").alias("last")).where("keeps <> last")
-        losers = drawn.join(least, ["group", "made"]).where("entity <> keeps").select("kind", "entity").collect()
-        if not losers:
-            return redrawn
-        last = Replacer(key, redrawn, syllables, names)
-        redrawn = redrawn | {(r["kind"], r["entity"]): last.draw(r["kind"], r["entity"]) + 1 for r in losers}
+    held = found.withColumn("draw", F.lit(0))
+    last = None
+    while True:
+        held = written(held.withColumn("made", made("kind", "entity", "draw", "gender")), "entities")
+        if last is not None:
+            discard(last)
+        alike = held.groupBy("kind", "made").agg(F.min("entity").alias("keeps"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        alike = written(alike, "alike")
+        if not alike.limit(1).count():
+            discard(alike)
+            return held.drop("made")
+        last, again = held, held.join(alike, ["kind", "made"], "left")
+        held = again.select("kind", "entity", "gender", (F.col("draw") + F.coalesce((F.col("entity") != F.col("keeps")).cast("int"), F.lit(0))).alias("draw"))
 
 
 def replace_entities(df: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """df with the entities of its texts replaced, n_entities, and entity_kinds (their kinds in
     order, joined by commas). Columns of df of these names give way."""
-    found = written(entities(df, text_col), "entities")
-    redrawn = collisions(found, key, 4, 1)
-    state = df.sparkSession.sparkContext.broadcast(redrawn)
+    spark = df.sparkSession
+    unlike = drawn(entities(df, text_col), key).where("draw > 0 or gender <> ''")
+    few = unlike.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+    state = spark.sparkContext.broadcast({(r["kind"], r["entity"]): (r["draw"], r["gender"]) for r in unlike.collect()} if few else {})
+    small_batches(spark)
 
     @F.pandas_udf("text string, n bigint, kinds string")
-    def replaced(text: pd.Series) -> pd.DataFrame:
-        replacer = Replacer(key, state.value, 4, 1)
-        rows = [(None, 0, "") if t is None else (lambda out: (out[0], len(out[1]), ",".join(out[1])))(replacer.replace(t)) for t in text]
+    def replaced(text: pd.Series, own: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, more in zip(text, own, strict=True):
+            exceptions = state.value if more is None else {(x["kind"], x["entity"]): (x["draw"], x["gender"]) for x in more}
+            out, kinds = replace(t, key, exceptions) if t and hinted(t) else ("", [])
+            rows.append((out if kinds else None, len(kinds), ",".join(kinds)))
         return pd.DataFrame(rows, columns=["text", "n", "kinds"])
 
-    hinted = F.when(F.col(text_col).rlike(HINT), F.col(text_col))
-    out = df.withColumn("__r", replaced(hinted))
-    return out.withColumns({text_col: F.coalesce("__r.text", text_col), "n_entities": F.coalesce("__r.n", F.lit(0).cast("long")), "entity_kinds": F.coalesce("__r.kinds", F.lit(""))}).drop("__r")
+    df = df.drop("n_entities", "entity_kinds")
+    exception = "array<struct<kind:string,entity:string,draw:int,gender:string>>"
+    if few:
+        df = df.withColumn("__own", F.lit(None).cast(exception))
+    else:
+        df = df.withColumn("__of", F.md5(F.encode(F.col(text_col), "utf-8")))
+        df = df.join(_exceptions_of(df, unlike, text_col).withColumn("__own", F.col("__own").cast(exception)), "__of", "left")
+    out = df.withColumn("__r", replaced(F.col(text_col), "__own"))
+    columns = {text_col: F.coalesce("__r.text", text_col), "n_entities": F.coalesce("__r.n", F.lit(0).cast("long")), "entity_kinds": F.coalesce("__r.kinds", F.lit(""))}
+    return out.withColumns(columns).drop("__r", "__own", "__of")
+
+
+def _exceptions_of(df: DataFrame, unlike: DataFrame, text_col: str) -> DataFrame:
+    """(__of, __own): by the digest of a text, those of its entities that are in unlike."""
+
+    def over(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows = [(of, kind, entity) for of, t in zip(*(c.to_pylist() for c in part.columns), strict=True) if t and hinted(t) for kind, entity in {(k, normal(k, t[a:b])) for a, b, k, _ in mentions(t)}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["__of", "kind", "entity"])
+
+    met = map_texts(df.select("__of", text_col), over, "__of string, kind string, entity string").distinct()
+    return met.join(unlike, ["kind", "entity"]).groupBy("__of").agg(F.collect_list(F.struct("kind", "entity", "draw", "gender")).alias("__own"))
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
