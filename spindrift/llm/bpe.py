@@ -19,8 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Distinct chunks that one Python worker keeps; the cache is emptied beyond that.
-CACHE_ENTRIES = 400_000
+from .common import kept, map_texts, slices, table
+
+#: Bytes of chunks and pre-tokens and their ids that one Python worker keeps, about (the caches are
+#: emptied beyond that, between two slices of texts), and bytes of an entry beside its own.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
 
 
 def byte_characters() -> list[str]:
@@ -87,6 +90,7 @@ class ByteBpe:
         self.flat = np.frombuffer(b"".join(held), dtype=np.uint8)
         self.pretokens: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}
+        self.size = 0
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text; the usual shapes without the pattern."""
@@ -103,6 +107,7 @@ class ByteBpe:
         for pretoken in {*pretokens}:
             if pretoken in self.pretokens:
                 continue
+            self.size += ENTRY_BYTES + 5 * len(pretoken)
             if (rank := self.ranks.get(pretoken.encode())) is not None:
                 self.pretokens[pretoken] = struct.pack("<I", rank)
             else:
@@ -118,10 +123,10 @@ class ByteBpe:
         between such spaces can be encoded by itself and kept; a text with longer white space
         next to a space is matched as a whole.
         """
-        if len(self.chunks) > CACHE_ENTRIES:
+        if self.size > CACHE_BYTES:
             self.chunks.clear()
-        if len(self.pretokens) > CACHE_ENTRIES:
             self.pretokens.clear()
+            self.size = 0
         cut = [text.split(" ") for text in texts]
         missing = [c for c in set().union(*(c[1:] for c in cut)) if c not in self.chunks]
         # a chunk with white space at an end belongs to a longer run
@@ -129,6 +134,7 @@ class ByteBpe:
         self.learn(p for pretokens in own.values() if pretokens for p in pretokens)
         for chunk, pretokens in own.items():
             self.chunks[chunk] = pretokens and b"".join(map(self.pretokens.__getitem__, pretokens))
+            self.size += ENTRY_BYTES + 5 * len(chunk)
         out: list[bytes | None] = []
         whole: dict[int, list[str]] = {}
         for i, (first, *rest) in enumerate(cut):
@@ -163,20 +169,8 @@ def rank_file_bytes(path: str) -> bytes:
         return f.read()
 
 
-_MADE: dict[tuple, ByteBpe] = {}
-
-
 def coder(rank_file: bytes, pattern: str) -> ByteBpe:
-    key = hashlib.sha256(rank_file).digest(), pattern
-    if key not in _MADE:
-        _MADE[key] = ByteBpe(rank_file, pattern)
-    return _MADE[key]
-
-
-def pieces_of(batch: pa.RecordBatch, rows: int = 256):
-    """Slices of an Arrow batch, so that few texts are held as Python strings at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    return kept(("bytes", hashlib.sha256(rank_file).digest(), pattern), lambda: ByteBpe(rank_file, pattern))
 
 
 def _over(df: DataFrame, schema: str, rank_path: str, pattern: str, rows) -> DataFrame:
@@ -188,12 +182,12 @@ def _over(df: DataFrame, schema: str, rank_path: str, pattern: str, rows) -> Dat
     def over(batches):
         bpe = coder(held.value, pattern)
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in slices(batch, 1):
                 found = [rows(bpe, ids) for ids in bpe.encode_many([text or "" for text in part.column(1).to_pylist()])]
                 if found:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*found, strict=True))], names=names)
 
-    return df.mapInArrow(over, schema)
+    return map_texts(df, over, schema)
 
 
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,6 +218,4 @@ def lengths(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -12,16 +12,14 @@ learned. Texts are read whole. Repeated rows are judged alike; an empty table gi
 the text enters a prediction.
 """
 
-import math
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import pieces_of
-from .common import table
+from .common import kept, map_texts, slices, table
 
 #: Labelled texts of each language that the model learns from, in expectation at most.
 MAX_TRAIN = 3000
@@ -30,8 +28,11 @@ BINS = 1 << 16
 ROUNDS = 12
 #: Languages with a smaller share of all words at first aren't tried as further ones.
 LEAST_SHARE = 0.02
-#: Distinct words that one Python worker keeps; they are emptied beyond that.
-CACHE_ENTRIES = 300_000
+#: Bytes of words and their likelihoods that one Python worker keeps, about (they are emptied beyond
+#: that, between two slices of texts), and bytes of an entry beside its characters and likelihoods.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 250
+#: The sample is drawn by a hash in so many steps, so that a share of any size can be drawn.
+STEPS = 1 << 62
 
 
 def letters(word: str) -> str:
@@ -66,6 +67,7 @@ class Mixtures:
         self.places: dict[str, int] = {}
         self.cleaned: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.languages)), dtype=np.float32)
+        self.size = 0
 
     def learn(self, words) -> None:
         """Gives new words the row of their log-likelihoods, or -1 if they have no letter."""
@@ -77,6 +79,7 @@ class Mixtures:
             self.cleaned |= {c: len(self.rows) + i for i, c in enumerate(new)}
             self.rows = np.concatenate([self.rows, np.add.reduceat(log, starts, axis=0)])
         self.places |= {w: self.cleaned[c] if c else -1 for w, c in own.items()}
+        self.size += sum(map(len, own)) * 2 + ENTRY_BYTES * len(own) + 8 * len(self.languages) * len(new)
 
     def shares(self, p: np.ndarray, starts: np.ndarray, of: np.ndarray, allowed: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Expectation-maximisation for all documents at once. p: likelihoods of words by language,
@@ -89,7 +92,7 @@ class Mixtures:
         return pi
 
     def infer(self, texts: list[str]) -> list[tuple[str, float]]:
-        if len(self.places) > CACHE_ENTRIES:
+        if self.size > CACHE_BYTES:
             self.forget()
         held, split = [], [text.split() for text in texts]
         self.learn(set().union(*split))
@@ -150,17 +153,18 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BINS, 0), dtype=np.float32)
-    shares = spark.createDataFrame([(l, int(min(1.0, max_train / sizes[l]) * (1 << 20))) for l in languages], "__lang string, __share long")
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20))
+    shares = spark.createDataFrame([(l, min(STEPS, max_train * STEPS // sizes[l])) for l in languages], "__lang string, __share long")
+    draw = F.xxhash64(F.col(id_col), F.lit(17)).bitwiseAND(STEPS - 1)
     sample = labelled.join(F.broadcast(shares), F.col(lang_col) == F.col("__lang")).where(draw < F.col("__share")).select("__lang", F.coalesce(text_col, F.lit("")))
 
     def count(batches):
         words: dict[str, dict[str, int]] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words.setdefault(lang, {})
-                for w in text.split():
-                    own[w] = own.get(w, 0) + 1
+            for part in slices(batch, 1):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    own = words.setdefault(lang, {})
+                    for w in text.split():
+                        own[w] = own.get(w, 0) + 1
         for lang, own in words.items():
             cleaned: dict[str, int] = {}
             for w, n in own.items():
@@ -174,7 +178,7 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text
             at = np.flatnonzero(bins)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(bins[at])], names=["lang", "bin", "n"])
 
-    found = sample.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    found = map_texts(sample, count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BINS, len(languages)))
     counts[found["bin"].to_numpy(dtype=np.int64), [languages.index(l) for l in found["lang"]]] = found["n"]
     smooth = 0.05
@@ -182,21 +186,23 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in keep (the text may be one), lang_pred and score of each row."""
+    """The columns in keep (the text may be one), lang_pred and score of each row. Columns of df with
+    the names of these two give way."""
     held = df.sparkSession.sparkContext.broadcast(model)
+    made, keep = uuid.uuid4().hex, [c for c in keep if c not in ("lang_pred", "score")]
     columns = keep if text_col in keep else [*keep, text_col]
     text_at = columns.index(text_col)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def over(batches):
-        mixtures = Mixtures(*held.value)
+        mixtures = kept(("languages", made), lambda: Mixtures(*held.value))
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in slices(batch, text_at):
                 found = mixtures.infer([t or "" for t in part.column(text_at).to_pylist()])
                 langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), langs, scores], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*columns).mapInArrow(over, f"{kinds}, lang_pred string, score double")
+    return map_texts(df.select(*columns), over, ", ".join([*filter(None, [kinds]), "lang_pred string, score double"]))
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

@@ -14,77 +14,89 @@ nothing. Columns other than the id and the text are ignored.
 
 import hashlib
 import os
+import string
 import struct
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_characters, pieces_of
-from .common import table, written
+from .bpe import byte_characters
+from .common import kept, map_texts, slices, table, written
 
 CAPACITY = 4096
-#: Distinct words that one Python worker keeps; the cache is emptied beyond that.
-CACHE_ENTRIES = 1_000_000
+#: Bytes of words and their ids that one Python worker keeps, about, and bytes of an entry beside its
+#: characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 110
 
 
-class WordEncoder:
+#: Fixed value: what the tokenizer's file calls a pre-token.
+PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class WordEncoder(dict):
     """Encodes by a tokenizer whose pre-tokens never hold white space, word by word and once for
-    each word: what lies between blanks and line ends is encoded by itself."""
+    each word: what lies between blanks and line ends is encoded by itself. The words met so far
+    are the entries. Words of characters that composing and lower-casing leave in place are cut
+    into pre-tokens here; all others pass through the whole tokenizer."""
 
     def __init__(self, tokenizer_json: bytes):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.to_characters = dict(enumerate(byte_characters()))
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of new words into the cache. A word of Latin letters is one pre-token, which
-        goes to the model as it is, in lower case; all others pass through the whole tokenizer."""
-        others = []
-        for word in words:
-            if word in self.words:
-                continue
-            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
-                found = self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.to_characters))
-                self.words[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            else:
-                others.append(word)
-        for word, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
-            self.words[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.size = 0
+        self.older: dict[str, bytes] = {}
+        self.marks = {p: self.pretoken(p) for p in string.punctuation + string.digits}
+
+    def whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def pretoken(self, text: str) -> bytes:
+        """Ids of one pre-token of characters below U+0250, in lower case."""
+        found = self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.to_characters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def cut(self, word: str) -> bytes:
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            pieces = [word[:-1], word[-1]]
+        else:
+            pieces = PRETOKENS.findall(word)
+        return b"".join([self.get(p) or self.marks.get(p) or self.pretoken(p) for p in pieces])
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            if not word.isprintable() or max(word, default="") >= "\u0250" or "\u0130" in word:
+                ids = self.whole(word)
+            else:  # composed already, and each letter has one lower-case form, a letter again
+                ids = self.pretoken(word.lower()) if word.isalpha() else self.cut(word.lower())
+        self.size += ENTRY_BYTES + len(word) + len(ids)
+        self[word] = ids
+        return ids
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
+        """Ids of each text as little-endian unsigned 32-bit integers. Texts that may hold the string
+        of a special token are encoded whole, as such strings are cut out first."""
+        if self.size > CACHE_BYTES // 2:  # words that are met again move on, the others go with the next turn
+            self.older = dict(self)
+            self.clear()
+            self.size = 0
         # lower case only saves words: the tokenizer, too, makes ASCII lower case
-        cut = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") for text in texts]
-        missing = {w for w in set().union(*cut) if w not in self.words}
-        # a comma or full stop after a letter is a pre-token of its own, as is what precedes it
-        ended = [w for w in missing if w[-1:] in (",", ".") and w[-2:-1].isalpha()]
-        missing.difference_update(ended)
-        self.learn(missing.union([",", "."], (w[:-1] for w in ended)))
-        for w in ended:
-            self.words[w] = self.words[w[:-1]] + self.words[w[-1]]
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
-
-
-_MADE: dict[bytes, WordEncoder] = {}
+        return [self.whole(text) if any(map(text.__contains__, self.special)) else b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).replace("\n", " ").split(" "))) for text in texts]
 
 
 def word_encoder(tokenizer_json: bytes) -> WordEncoder:
-    key = hashlib.sha256(tokenizer_json).digest()
-    if key not in _MADE:
-        _MADE[key] = WordEncoder(tokenizer_json)
-    return _MADE[key]
+    return kept(("words", hashlib.sha256(tokenizer_json).digest()), lambda: WordEncoder(tokenizer_json))
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -154,7 +166,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: in
     def over(batches):
         encoder, task, seen = word_encoder(held.value), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in slices(batch, 1):
                 ids = [x + end for x in encoder.encode_many([t or "" for t in part.column(1).to_pylist()])]
                 rows, of = [], []
                 for i, x in enumerate(ids):
@@ -169,7 +181,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: in
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *columns], names=[c.split()[0] for c in schema.split(", ")])
 
-    return df.select(id_col, text_col).mapInArrow(over, schema)
+    return map_texts(df.select(id_col, text_col), over, schema)
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -192,8 +204,8 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CA
         nth = rank.to_numpy() - own[:, 1]
         return pd.DataFrame({"sequence_id": own[:, 2] + nth // own[:, 3], "offset": own[:, 4] + nth % own[:, 3] * own[:, 0]})
 
-    kept = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return ranked.withColumn("at", place("length", F.col("first") + F.col("nth"))).select(*kept, "at.sequence_id", "at.offset")
+    columns = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    return ranked.withColumn("at", place("length", F.col("first") + F.col("nth"))).select(*columns, "at.sequence_id", "at.offset")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 MADE = bpe.coder(bpe.rank_file_bytes(RANKS), public_tokenizers.PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=MADE.ranks, special_tokens={})
 TOKENIZER = Tokenizer.from_file(WORD_BPE)
-TOKENIZER.encode_special_tokens = True
 with open(WORD_BPE, "rb") as f:
     ENCODER = packing.word_encoder(f.read())
 ODD = ["", " ", "  a  \n b", "a\n\nb \nc\n d", "▁a ▁▁", "\x00 \x00a", "it's 's  ''", "don't 12 345  …  \t\tq\r\n\r\nz ", "　全角 文字　", "a" * 3000, "🙂 👩‍👩‍👧", " a", "a ", "<|endoftext|> x", "a\x1cb", "é é ǅ"]
