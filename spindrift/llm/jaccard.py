@@ -2,43 +2,54 @@
 
 A document's set holds its distinct shingles of five words (of A-Z lower-cased text), hashed to 64
 bits. Two documents link if the likeness of their sets is at least the threshold; the join returns
-each document's component under these links, exactly, without writing out the links of a group:
-
-1. Documents with equal sets become one representative (the least id).
-2. Contraction. Representatives that share minimum hashes are verified against one hub each, in a
-   few rounds with other hubs, and later those that can still link against the most central of
-   the sets that share their shingles. This takes no decision but links, and it makes large groups
-   of near copies one component, so that only pairs of different components matter.
-3. Exact join by adaptive multi-match prefixes. A shingle matters if it occurs in two components.
-   With shingles in one global order (those that don't matter, then by frequency), two sets that
-   link share at least l shingles within their first |x| - ceil(t |x|) + l. Most documents have so
-   many shingles of their own that nothing is left to compare. For the others, l grows as far as
-   the estimated cost of candidates falls, and a pair must share the lesser l of the two before
-   its sets are compared.
+each document's component under these links, exactly, without writing out the links of a group.
+Documents with equal sets are one class; classes are what is compared.
+
+Two sets x and y that link share, in any one order of all shingles, at least l shingles within their
+first |x| - ceil(t |x|) + l and |y| - ceil(t |y|) + l (the prefixes for l matches). This serves twice:
+
+1. Open classes. In the order of the hashes, which needs no statistics, each class is dealt by a
+   prefix for some 5 % of its size in matches, about a quarter of its shingles. A class goes on only
+   if it shares that many of them with any others. So passages that many documents share open few
+   classes, and texts are read again only for these.
+2. Contraction of the open classes. Those that share minimum hashes are verified against one hub
+   each, in a few rounds with other hubs, and then those that can still link against the most
+   central of the sets that share their shingles. This takes no decision but links, and it makes
+   large groups of near copies one component, so that only pairs of different components matter.
+3. Exact join of the open classes by adaptive multi-match prefixes. A shingle matters if it occurs in
+   two components. Shingles are ordered by frequency (those that don't matter first). Each set's l
+   grows as far as the estimated cost of its candidates falls, and a pair must share the lesser l of
+   the two before its sets are compared.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; with fewer
-words than a shingle, all words are one. Rows that repeat a text are one class; rows that share an
-id are one document. Only the id and the text are read; other columns are ignored. Texts are whole.
+words than a shingle, all words are one. Rows that repeat a text are one class. Rows that share an
+id are each taken by their text. An empty table gives no rows. Only the id and the text are read,
+so that other columns can't clash. Texts are whole. Hashes of 64 bits stand for shingles and sets.
 """
 
+from __future__ import annotations
+
 import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, map_texts, slices, table, written
 
 WORDS, THRESHOLD = 5, 0.8
+#: Matches that the first prefix asks for: one for so many shingles of a set.
+FIRST_MATCH = 20
 #: Minimum hashes of a set, how many must lead to the same hub, and rounds with other hubs.
 KEYS, SAME_HUB, ROUNDS = 8, 2, 2
-#: Rounds of links to central sets among those that can still link.
-CENTRAL_ROUNDS = 3
-#: Shingles in a bucket of the frequency count, on average, and in one flush of a task.
-BUCKET, FLUSH = 1 << 20, 1 << 19
-#: Rows of (id, component) that are broadcast at most (16 MB); beyond, the texts are shuffled to them.
+#: Rounds of links to central sets among those that can still link, at most, and the share of pairs
+#: that must link for another round to be worth its while.
+CENTRAL_ROUNDS, WORTH = 3, 0.03
+#: Shingles of prefixes that a task deals at once.
+FLUSH = 1 << 19
+#: Rows of (id, class) that are broadcast at most (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 1 << 20
 #: Most shared shingles that a document may ask of a candidate, and the cost of comparing two sets
 #: in terms of one entry of a posting list.
@@ -52,9 +63,10 @@ _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = {_BASE: np.ones(1, dtype=np.uint64)}
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS[_INVERSE] = np.ones(1, dtype=np.uint64)
+#: Powers that are kept between calls; those for longer texts are made each time.
+_KEPT_POWERS = 1 << 21
+_POWERS = {base: np.ones(1, dtype=np.uint64) for base in (_BASE, _INVERSE)}
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 _SALTS = _RANDOM.integers(1, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,7 +75,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     held = _POWERS[base]
     while len(held) < n:
         held = np.concatenate([held, held * np.uint64(pow(base, len(held), 1 << 64))])
-    _POWERS[base] = held
+    if len(held) <= _KEPT_POWERS:
+        _POWERS[base] = held
     return held[:n]
 
 
@@ -100,49 +113,125 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _groups(batches, limit: int = 1 << 20):
-    """(columns but for the text, texts) of a megabyte or so each, or of one longer text."""
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= limit or i == len(texts) - 1:
-                yield [batch.column(c)[at : i + 1] for c in range(batch.num_columns - 1)], [t or "" for t in texts[at : i + 1]]
-                at, size = i + 1, 0
+def _missing(n, threshold: float):
+    """Shingles that a set of n may lack in one that it links with."""
+    return n - -(-n * round(100 * threshold) // 100)
+
+
+def _owner(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """(id, n, sig, keys): size, digest and minimum hashes of each document's set."""
+def _described(docs: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, owner, prefix): size of each document's set, the hash that stands for the set (its
+    class), and its first prefix, the least of its hashes."""
 
     def over(batches):
-        for (ids,), texts in _groups(batches):
-            sets = shingle_sets(texts)
-            keys = [[int((s * m).min().view(np.int64)) for m in _SALTS] if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "sig", "keys"])
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+                n = [len(s) for s in sets]
+                owners = [_owner(hashlib.md5(s.tobytes()).digest()) if len(s) else None for s in sets]
+                prefixes = [s[: _missing(len(s), threshold) + max(1, len(s) // FIRST_MATCH)].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(owners, pa.int64()), pa.array(prefixes, pa.binary())], names=["id", "n", "owner", "prefix"])
 
-    return docs.mapInArrow(over, "id bigint, n bigint, sig binary, keys array<bigint>")
+    return map_texts(docs, over, "id bigint, n bigint, owner bigint, prefix binary")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the ids in wanted, with its other columns: wanted is broadcast if it was counted to
-    be small, else both are shuffled."""
-    small = wanted.count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(wanted) if small else wanted, "id")
-    return found.select(*wanted.columns, "text")
+def _packed(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed hashes in one array, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return flat.view("<u8"), np.diff(ends) // 8
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets link, written. Each set is shuffled to its pairs."""
-    pairs = written(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _open_classes(described: DataFrame, threshold: float) -> DataFrame:
+    """(owner, n), written: the classes that share enough of their first prefix with others.
+
+    A task deals many documents at once: each shingle once, with its only class, or with none if
+    several of the classes at hand hold it, for which it is then counted here. So a shingle that
+    is everywhere is dealt once a flush and can't fill a partition."""
+
+    def deal(batches):
+        held, size = [], 0
+
+        def flush():
+            owners, n, lengths, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            distinct, first = np.unique(owners, return_index=True)
+            once = np.zeros(len(owners), dtype=bool)
+            once[first] = True  # copies of a set at hand are dealt once
+            x, owner = x[np.repeat(once, lengths)], np.repeat(owners[once], lengths[once])
+            order = np.argsort(x, kind="stable")
+            x, owner = x[order], owner[order]
+            cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+            times = np.diff([*cuts, len(x)])
+            here = np.bincount(np.searchsorted(distinct, owner[np.repeat(times > 1, times)]), minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(x[cuts].view(np.int64)), pa.array(owner[cuts], mask=times > 1), pa.nulls(len(cuts), pa.int64())], names=["x", "owner", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(distinct), pa.array(here << 32 | n[first])], names=["x", "owner", "held"])
 
-    def to_sets(batches):
-        for (own,), texts in _groups(batches):
-            yield pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["id", "s"])
+        for batch in batches:
+            x, lengths = _packed(batch.column(2))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), lengths, x.copy()))
+            size += len(x)
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    # rows with `held` are classes (shingles counted already, and n), the others shingles
+    dealt = map_texts(described.where("n > 0").select("owner", "n", "prefix"), deal, "x bigint, owner bigint, held bigint")
+    same = Window.partitionBy("x", F.col("held").isNull())
+    shared = (F.min("owner").over(same) != F.max("owner").over(same)) | F.max(F.col("owner").isNull()).over(same)
+    counted = dealt.withColumn("shared", shared).where("owner is not null and (held is not null or shared)")
+    of_class = counted.groupBy("owner").agg(
+        F.sum(F.when(F.col("held").isNull(), 1).otherwise(F.shiftright("held", 32))).alias("s"),
+        F.count("held").alias("dealt"),  # as often as flushes have met the class
+        F.max(F.col("held").bitwiseAND(0xFFFFFFFF)).alias("n"),
+    )
+    shortest = F.ceil(F.col("n") * threshold - 1e-9)  # a shorter set that links asks for fewer matches
+    asked = F.greatest(F.floor(shortest / FIRST_MATCH), F.lit(1))
+    return written(of_class.where(F.col("s") >= F.col("dealt") * asked).select("owner", "n"), "open")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, n, s, keys), written: set and minimum hashes of the classes in wanted (id of a document,
+    owner), by their owner. The texts are shuffled to them if they are too many to be broadcast."""
 
-    sets = written(_texts_of(docs, ids).mapInArrow(to_sets, "id bigint, s binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    def over(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+                # a row that shares the id may have another text
+                own = [(o, s) for o, s in zip(part.column(0).to_pylist(), sets, strict=True) if len(s) and _owner(hashlib.md5(s.tobytes()).digest()) == o]
+                keys = [[int((s * m).min().view(np.int64)) for m in _SALTS] for _, s in own]
+                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "s", "keys"])
+
+    found = docs.join(_bounded(wanted), "id").select("owner", "text")
+    sets = written(map_texts(found, over, "id bigint, n bigint, s binary, keys array<bigint>"), "sets")
+    rows, ids = sets.agg(F.count("id"), F.countDistinct("id")).first()
+    if rows == ids:
+        return sets
+    once = written(sets.dropDuplicates(["id"]), "sets")  # a row may be there twice
+    discard(sets)
+    return once
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> tuple[int, DataFrame]:
+    """The number of pairs (a, b), and those whose sets link, written. Only the sets of these pairs are shuffled, if the
+    pairs are few enough to be broadcast; else all are."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    asked = pairs.count()
+    others = written(pairs.select("b").distinct(), "others")
+    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).join(_bounded(pairs), "a")
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).join(_bounded(others), "b")
+    both = left.join(right, "b")
     percent = round(threshold * 100)
 
     def linked(batches):
@@ -150,16 +239,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             keep = []
             for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(linked, "a bigint, b bigint"), "links")
+    links = written(map_texts(both.select("a", "b", "sa", "sb"), linked, "a bigint, b bigint"), "links")
+    discard(pairs, others)
+    return asked, links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of the ids that links (a, b) touch; the component is its least id. Labels
-    fall to the least among neighbours and are then followed to their own label."""
+    """(id, component) of the ids that links (a, b) touch, written; the component is its least id.
+    Labels fall to the least among neighbours and are then followed to their own label."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"), "labels")
     while True:
@@ -167,19 +258,21 @@ def components(links: DataFrame) -> DataFrame:
         told = labels.join(heard, labels["id"] == heard["a"]).select("id", F.col("component").alias("was"), F.least("component", "heard").alias("label"))
         own = labels.select(F.col("id").alias("label"), F.col("component").alias("next"))
         after = written(told.join(own, "label").select("id", "was", F.least("label", "next").alias("component")), "labels")
-        labels = after.select("id", "component")
+        discard(labels)
+        labels = after
         if not after.where("component <> was").limit(1).count():
+            discard(both)
             return labels
 
 
-def _labelled(reps: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Representatives with the component that the links give them, their own id without one."""
-    all_links = links[0]
-    for more in links[1:]:
-        all_links = all_links.union(more)
-    found = components(all_links).withColumnRenamed("id", "__id")
-    labelled = reps.drop("component").join(found, F.col("id") == F.col("__id"), "left")
-    return written(labelled.withColumn("component", F.coalesce("component", "id")).drop("__id"), "reps")
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes, written, with the component that the links give them, their own id without one."""
+    found = components(links)
+    labels = found.select(F.col("id").alias("__id"), F.col("component").alias("__label"))
+    labelled = nodes.drop("component").join(_bounded(labels), F.col("id") == F.col("__id"), "left")
+    out = written(labelled.withColumn("component", F.coalesce("__label", "id")).drop("__id", "__label"), "nodes")
+    discard(nodes, found)
+    return out
 
 
 def _hub_pairs(reps: DataFrame, seed: int, threshold: float) -> DataFrame:
@@ -194,83 +287,39 @@ def _hub_pairs(reps: DataFrame, seed: int, threshold: float) -> DataFrame:
     return shared.groupBy(F.col("id").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def _shared_shingles(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
-    """(id, x, f), written: of each representative the shingles that occur in two components, with
-    the number of representatives that hold them. Shingles are dealt in packed arrays by bucket, as
-    48 bits of their hash: shingles that fall together only add candidates."""
-    buckets = max(16, -(-total // BUCKET))
-    wanted = reps.where("n > 0").select("id", "component")
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(id, x), written: one row for each shingle of the sets."""
 
-    def deal(batches):
-        held, size = [], 0
+    def over(batches):
+        for batch in batches:
+            x, n = _packed(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(x.view(np.int64))], names=["id", "x"])
 
-        def flush():
-            h, i, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
-            owners, own = np.unique(i, return_inverse=True)
-            component = np.zeros(len(owners), dtype=np.int64)
-            component[own] = c
-            own = own.astype("<u4")[order]
-            out = []
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                used, local = np.unique(own[a:b], return_inverse=True)
-                out.append((int(bucket[a]), low[a:b].tobytes(), local.astype("<u4").tobytes() if len(used) > 65535 else local.astype("<u2").tobytes(), owners[used].tobytes(), component[used].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "x", "own", "ids", "components"])
-
-        for (ids, labels), texts in _groups(batches):
-            sets = shingle_sets(texts)
-            n = [len(s) for s in sets]
-            held.append((np.concatenate(sets), np.repeat(ids.to_numpy(), n), np.repeat(labels.to_numpy(), n)))
-            size += sum(n)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def count(found: pa.Table) -> pa.Table:
-        x, i, c = [], [], []
-        for low, own, ids, labels in zip(*(found.column(k).to_pylist() for k in ("x", "own", "ids", "components")), strict=True):
-            low = np.frombuffer(low, "<u4")
-            at = np.frombuffer(own, "<u4" if len(own) == 4 * len(low) else "<u2")
-            x.append(low)
-            i.append(np.frombuffer(ids, np.int64)[at])
-            c.append(np.frombuffer(labels, np.int64)[at])
-        x, i, c = np.concatenate(x), np.concatenate(i), np.concatenate(c)
-        order = np.argsort(x, kind="stable")
-        x, i, c = x[order], i[order], c[order]
-        cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        n = np.diff([*cuts, len(x)])
-        crossing = np.repeat(np.minimum.reduceat(c, cuts) != np.maximum.reduceat(c, cuts), n)
-        bucket = found.column("bucket")[0].as_py() if len(found) else 0
-        return pa.table({"id": i[crossing], "x": (x[crossing].astype(np.int64) | np.int64(bucket) << 32), "f": np.repeat(n, n)[crossing].astype(np.int64)})
-
-    dealt = _texts_of(docs, wanted).select("id", "component", "text").mapInArrow(deal, "bucket int, x binary, own binary, ids binary, components binary")
-    return written(dealt.groupBy("bucket").applyInArrow(count, "id bigint, x bigint, f bigint"), "shared")
-
-
-def _open_sets(shared: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    return written(map_texts(sets.select("id", "s"), over, "id bigint, x bigint"), "shingles")
+
+
+def _still_open(shingles: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, n, s, component) of the sets that can still link with another component, since of their n
-    shingles enough (s) occur in one, and their rows of shared; both written. Shingles that have come
-    to lie within one component no longer count."""
-    held = shared.join(reps.select("id", "n", "component"), "id")
-    crossing = held.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x")
-    held = written(held.join(crossing, "x"), "crossing")
-    sets = held.groupBy("id", "n", "component").agg(F.count(F.lit(1)).alias("s"))
+    shingles enough (s) occur in one, and (id, x, f) of these shingles with the number f of sets that
+    hold each; both written. The table of shingles that is given is deleted."""
+    held = shingles.select("id", "x").join(_bounded(nodes.select("id", "n", "component")), "id")
+    ends = F.count(F.lit(1)).alias("f"), F.min("component").alias("low"), F.max("component").alias("high")
+    crossing = written(held.groupBy("x").agg(*ends).where("low <> high").select("x", "f"), "crossing")
+    met = written(held.join(crossing, "x"), "met")
+    discard(shingles, crossing)
+    sets = met.groupBy("id", "n", "component").agg(F.count(F.lit(1)).alias("s"))
     # shingles of its own come first in the order; with more of them than a linked set can miss, none links
-    sets = written(sets.where(F.col("s") >= F.ceil(F.col("n") * threshold - 1e-9)), "open")
-    return sets, held.select("id", "x", "f").join(sets.select("id"), "id", "left_semi")
+    sets = written(sets.where(F.col("s") >= F.ceil(F.col("n") * threshold - 1e-9)), "still-open")
+    shared = written(met.select("id", "x", "f").join(_bounded(sets.select("id")), "id", "left_semi"), "shared")
+    discard(met)
+    return sets, shared
 
 
 def _central_pairs(shared: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     """For each open set the central one that most of its shingles lead to: of the sets that hold a
     shingle, the one with the least share of shingles of its own. What was copied from one text lies
     around it, so that these pairs join most of a group of near copies."""
-    each = shared.join(sets, "id")
+    each = shared.join(_bounded(sets), "id")
     noise = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 1000.0 * 0.02 * seed
     own = (F.col("n") - F.col("s")) / F.col("n") + noise
     hubs = each.groupBy("x").agg(F.min(F.struct(own.alias("own"), "id", "component")).alias("hub"))
@@ -286,12 +335,10 @@ def _prefix_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataF
     of two at most n - ceil(2 t / (1 + t) n): each set is dealt in both parts, by the prefix that the
     part needs. Sets only meet in the bands of sizes where those of their shingles that matter can
     suffice, and where what follows their first shared one in either order leaves enough."""
-    from pyspark.sql import Window
-
     long_part, short_part, needed = threshold, 2 * threshold / (1 + threshold), threshold / (1 + threshold)
     most_missing = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9)
     missing = most_missing(long_part)
-    ranked = shared.join(sets, "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")) + F.col("n") - F.col("s"))
+    ranked = shared.join(_bounded(sets), "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")) + F.col("n") - F.col("s"))
     ranked = ranked.where(F.col("k") <= missing + MAX_MATCHES)
     # l matches cost the posting lists of l - 1 further shingles, and at most their share of comparisons
     so_far = F.sum("f").over(Window.partitionBy("id").orderBy("k"))
@@ -319,36 +366,58 @@ def _prefix_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return both.where(enough_matches).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = written(_described(docs), "described")
-    classes = found.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
-    reps = found.join(classes, "sig").where("id = rep").select("id", "n", "keys").dropDuplicates(["id"])
-    reps = written(reps.withColumn("component", F.col("id")), "reps")
-    links = []
+def _contracted(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, component), written: the components of classes, given with their sets."""
+    nodes = written(sets.select("id", "n", "keys", F.col("id").alias("component")), "nodes")
+    links: list[DataFrame] = []
+
+    def joined(pairs: DataFrame) -> bool:
+        """Makes the classes' components anew with the pairs that link; whether many do."""
+        nonlocal nodes
+        asked, more = _verified(sets, pairs, threshold)
+        found = more.count()
+        if not found:
+            discard(more)
+            return False
+        links.append(more)
+        both = links[0]
+        for other in links[1:]:
+            both = both.union(other)
+        nodes = _labelled(nodes, both)
+        return found >= WORTH * asked
+
     for seed in range(ROUNDS):
-        more = _verified(docs, _hub_pairs(reps, seed, threshold), threshold)
-        if not more.limit(1).count():
+        if not joined(_hub_pairs(nodes, seed, threshold)):
             break
-        links.append(more)
-        reps = _labelled(reps, links)
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    if total:
-        shared = _shared_shingles(docs, reps, total)
-        for seed in range(CENTRAL_ROUNDS):
-            sets, shared = _open_sets(shared, reps, threshold)
-            more = _verified(docs, _central_pairs(shared, sets, seed), threshold)
-            if not more.limit(1).count():
-                break
-            links.append(more)
-            reps = _labelled(reps, links)
-        sets, shared = _open_sets(shared, reps, threshold)
-        links.append(_verified(docs, _prefix_pairs(shared, sets, threshold), threshold))
-        reps = _labelled(reps, links)
-    of_class = classes.join(reps.select(F.col("id").alias("rep"), "component"), "rep").select("sig", "component")
-    out = found.select("id", "n", "sig").join(of_class, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
+    shared = _shingles(sets)
+    for seed in range(CENTRAL_ROUNDS + 1):
+        still_open, shared = _still_open(shared, nodes, threshold)
+        if not still_open.limit(1).count():
+            break
+        if seed == CENTRAL_ROUNDS or not joined(_central_pairs(shared, still_open, seed)):
+            joined(_prefix_pairs(shared, still_open, threshold))
+            break
+        discard(still_open)
+    discard(shared, *links)
+    return nodes.select("id", "component")
+
+
+def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    described = written(_described(docs, threshold), "described")
+    open_ = _open_classes(described, threshold)
+    classes = described.where("n > 0 and id is not null").groupBy("owner").agg(F.min("id").alias("least"))
+    if open_.limit(1).count():
+        reps = written(classes.join(open_.select("owner"), "owner"), "reps")
+        sets = _sets(docs, reps.select(F.col("least").alias("id"), "owner"))
+        found = _contracted(sets, threshold)
+        discard(sets)
+        of_component = written(found.join(reps, found["id"] == reps["owner"]).groupBy("component").agg(F.min("least").alias("of_component")), "least")
+        of_open = found.join(of_component, "component").select(F.col("id").alias("owner"), "of_component")
+        classes = classes.join(of_open, "owner", "left").select("owner", F.coalesce("of_component", "least").alias("least"))
+    out = described.select("id", "n", "owner").join(classes, "owner", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import urls
+from spindrift.llm import jaccard, urls
 from spindrift.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,26 @@ def test_stages(stages):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in last.collect()}
 
 
+def test_stages_of_odd_tables(spark):
+    """Repeated ids, rows that repeat, null ids, clashing names; and nothing at all."""
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, SF, "documents").where("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    a, b = base[0][1] + " first", base[1][1] + " second"
+    rows = [*base, (70, a, "en", "s", 1), (70, b, "en", "s", 1), (70, a, "en", "r", 1), (None, a, "en", "s", 1), (71, base[2][1], "en", "s", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "clash", 1.0, 3, 4) for r in rows], f"{kind}, kept string, score double, key int, __words int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), kind) if name != "near_duplicates" else docs
+        if name == "near_duplicates":
+            found = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+            near = jaccard.join_components(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
+            kept_texts = {r.text for r in found}
+            assert len([r for r in found if r.doc_id is None]) == len([r for r in docs.collect() if r.doc_id is None])
+            assert len([r for r in found if r.doc_id is not None]) == near.join(docs.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("doc_id")).distinct(), "doc_id").select("component_id").distinct().count()
+            assert len(kept_texts) <= len({r.text for r in docs.collect()}) and 71 not in {r.doc_id for r in found}
+    nothing = docs.where("false")
+    assert all(stage(spark, nothing, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert len(corpus_pipeline.STAGES) == 5
