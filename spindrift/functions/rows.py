@@ -10,7 +10,7 @@ import datetime
 import re
 import struct
 
-from ..types import JsonType
+from ..types import JsonType, looks_like_uuid
 from . import jsonbytes as J
 from .varint import CodecError, read_signed_varint, read_sized, read_varint, signed_varint, sized, varint
 
@@ -49,7 +49,7 @@ def encode(value, of: JsonType) -> bytes:
     if kind in ("string", "timestamp", "uuid") and isinstance(value, str):
         if kind == "timestamp" and (ms := iso_to_millis(value)) is not None and millis_to_iso(ms) == value:
             return bytes([PACKED]) + signed_varint(ms)
-        if kind == "uuid" and value == value.lower():
+        if kind == "uuid" and value == value.lower() and looks_like_uuid(value):
             return bytes([PACKED]) + bytes.fromhex(value.replace("-", ""))
         return (b"" if kind == "string" else bytes([PLAIN])) + sized(value.encode())
     if kind == "array" and isinstance(value, list):
@@ -89,6 +89,8 @@ def decode(data: bytes, of: JsonType, at: int = 0):
         ms, at = read_signed_varint(data, at + 1)
         return millis_to_iso(ms), at
     if kind == "uuid" and data[at] == PACKED:
+        if at + 17 > len(data):
+            raise CodecError("truncated record")
         h = data[at + 1 : at + 17].hex()
         return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])), at + 17
     if kind in ("string", "timestamp", "uuid"):

@@ -35,10 +35,12 @@ def bitmap(df: DataFrame, value: str, position: str, by: list[str]) -> DataFrame
 
 
 def to_columns(df: DataFrame, columns: list[str], position: str, by: list[str]) -> DataFrame:
-    """One row for each block and column: its values as text, in the order of the rows."""
-    stacked = df.select(*by, position, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x"))
-    held = F.array_sort(F.collect_list(F.struct(position, "x.v")))
-    return stacked.groupBy(*by, "x.column").agg(F.transform(held, lambda x: x["v"]).alias("values"))
+    """One row for each block and column: its values as text, in the order of the rows. Rows of one
+    position are ordered by their values, all columns alike, so that records stay whole."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), *(F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)))))
+    blocks = df.groupBy(*by).agg(held.alias("__held"))
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"__held.v{i}").alias("values")) for i, c in enumerate(columns)))
+    return blocks.select(*by, F.explode(each).alias("x")).select(*by, "x.column", "x.values")
 
 
 def to_rows(blocks: DataFrame, columns: list[str], by: list[str]) -> DataFrame:

@@ -49,16 +49,17 @@ def merge(base: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def longest_prefix(df: DataFrame, value: str, dictionary: DataFrame, longest: int = 64) -> DataFrame:
-    """Adds the longest entry that a value begins with. Values are looked up by each of their
+    """Adds the longest entry that a value begins with; rows that repeat stay. Values are looked up by each of their
     prefixes that has the length of an entry, so that the join stays an equality."""
     entries = dictionary.select(F.col("word").alias("__entry")).where(F.length("word").between(2, longest)).distinct()
     lengths = entries.select(F.length("__entry").alias("n")).distinct()
     sizes = sorted(r.n for r in lengths.collect())  # at most `longest` numbers
-    probes = F.filter(F.transform(F.lit(sizes).cast("array<int>"), lambda n: F.when(F.length(value) >= n, F.substring(value, F.lit(1), n))), lambda p: p.isNotNull())
-    exploded = df.select("*", F.explode_outer(probes).alias("__entry"))
-    met = exploded.join(entries.withColumn("__hit", F.lit(True)), "__entry", "left")
-    best = F.max_by(F.when(F.col("__hit"), F.col("__entry")), F.when(F.col("__hit"), F.length("__entry")))
-    return met.groupBy(*df.columns).agg(best.alias("entry"))
+    probes = F.filter(F.transform(F.lit(sizes).cast("array<int>"), lambda n: F.when(F.length("__value") >= n, F.substring("__value", F.lit(1), n))), lambda p: p.isNotNull())
+    # each distinct value is looked up once; all rows that have it then get what was found
+    values = df.select(F.col(value).alias("__value")).where(F.col(value).isNotNull()).distinct()
+    met = values.select("__value", F.explode(probes).alias("__entry")).join(entries, "__entry")
+    best = met.groupBy("__value").agg(F.max_by("__entry", F.length("__entry")).alias("__best"))
+    return df.drop("entry").join(best, F.col(value) == F.col("__value"), "left").withColumn("entry", F.col("__best")).drop("__value", "__best")
 
 
 def ngrams(df: DataFrame, value: str, shortest: int, longest: int, least: int = 2) -> DataFrame:

@@ -230,3 +230,11 @@ def test_tokens():
     assert len(list(templates.tokens('{"name":"test","value":123}'))) == 9
     assert [k for k, _, _ in templates.tokens("[1, tru")] == ["array_start", "number", "comma", "error"]
     assert [templates.is_json(x) for x in (b"{}", b" [1]", b"hello", b"123", b"")] == [True, True, False, False, False]
+
+
+def test_rows_pack_only_whole_uuids():
+    t = Y.infer("123e4567-e89b-12d3-a456-426614174000")
+    for text in ("abcd", "123e4567e89b12d3a456426614174000", "123e4567-e89b-12d3-a456-426614174000", "123E4567-e89b-12d3-a456-426614174000", ""):
+        assert rows.decode(rows.encode(text, t), t)[0] == text
+    with pytest.raises(CodecError):
+        rows.decode(rows.encode("123e4567-e89b-12d3-a456-426614174000", t)[:-1], t)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import udfs
-from spindrift.operators import dictionaries, schemas, sessions, states
+from spindrift.operators import columnar, dictionaries, schemas, sessions, states
 from spindrift.sources import documents, frames
 from spindrift.streaming import states as streaming
 
@@ -98,6 +98,17 @@ def test_longest_prefix(spark):
     words = spark.createDataFrame([("hel",), ("hello",), ("hello world",)], "word string")
     df = spark.createDataFrame([("hello world!",), ("help",), ("x",)], "v string")
     assert {r.v: r.entry for r in dictionaries.longest_prefix(df, "v", words).collect()} == {"hello world!": "hello world", "help": "hel", "x": None}
+    twice = spark.createDataFrame([("help", 1), ("help", 1), (None, 2), (None, 2), ("x", 3)], "v string, entry int")
+    assert sorted((r.v or "", r.entry or "") for r in dictionaries.longest_prefix(twice, "v", words).collect()) == [("", ""), ("", ""), ("help", "hel"), ("help", "hel"), ("x", "")]
+
+
+def test_columns_keep_records_whole_on_ties(spark):
+    records = [("a", "z"), ("b", "y"), ("a", "z"), (None, "x")]
+    df = spark.createDataFrame([(1, 7, *r) for r in records], "block int, at int, c string, d string")
+    blocks = columnar.to_columns(df, ["c", "d"], "at", ["block"])
+    back = columnar.to_rows(blocks, ["c", "d"], ["block"])
+    assert sorted(((r.c, r.d) for r in back.collect()), key=str) == sorted(records, key=str)
+    assert columnar.to_columns(df.where("false"), ["c", "d"], "at", ["block"]).count() == 0
 
 
 def test_registry_grows(spark):
