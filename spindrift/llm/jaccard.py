@@ -208,7 +208,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keys = [[int((s * m).min().view(np.int64)) for m in _SALTS] for _, s in own]
                 yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "s", "keys"])
 
-    found = docs.join(_bounded(wanted), "id").select("owner", "text")
+    found = docs.join(bounded(wanted), "id").select("owner", "text")
     sets = written(map_texts(found, over, "id bigint, n bigint, s binary, keys array<bigint>"), "sets")
     rows, ids = sets.agg(F.count("id"), F.countDistinct("id")).first()
     if rows == ids:
@@ -218,7 +218,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return once
 
 
-def _bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, to be broadcast if it was counted to be small."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -229,8 +229,8 @@ def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> tuple[int,
     pairs = written(pairs.select("a", "b"), "pairs")
     asked = pairs.count()
     others = written(pairs.select("b").distinct(), "others")
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).join(_bounded(pairs), "a")
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).join(_bounded(others), "b")
+    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).join(bounded(pairs), "a")
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).join(bounded(others), "b")
     both = left.join(right, "b")
     percent = round(threshold * 100)
 
@@ -269,7 +269,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes, written, with the component that the links give them, their own id without one."""
     found = components(links)
     labels = found.select(F.col("id").alias("__id"), F.col("component").alias("__label"))
-    labelled = nodes.drop("component").join(_bounded(labels), F.col("id") == F.col("__id"), "left")
+    labelled = nodes.drop("component").join(bounded(labels), F.col("id") == F.col("__id"), "left")
     out = written(labelled.withColumn("component", F.coalesce("__label", "id")).drop("__id", "__label"), "nodes")
     discard(nodes, found)
     return out
@@ -302,7 +302,7 @@ def _still_open(shingles: DataFrame, nodes: DataFrame, threshold: float) -> tupl
     """(id, n, s, component) of the sets that can still link with another component, since of their n
     shingles enough (s) occur in one, and (id, x, f) of these shingles with the number f of sets that
     hold each; both written. The table of shingles that is given is deleted."""
-    held = shingles.select("id", "x").join(_bounded(nodes.select("id", "n", "component")), "id")
+    held = shingles.select("id", "x").join(bounded(nodes.select("id", "n", "component")), "id")
     ends = F.count(F.lit(1)).alias("f"), F.min("component").alias("low"), F.max("component").alias("high")
     crossing = written(held.groupBy("x").agg(*ends).where("low <> high").select("x", "f"), "crossing")
     met = written(held.join(crossing, "x"), "met")
@@ -310,7 +310,7 @@ def _still_open(shingles: DataFrame, nodes: DataFrame, threshold: float) -> tupl
     sets = met.groupBy("id", "n", "component").agg(F.count(F.lit(1)).alias("s"))
     # shingles of its own come first in the order; with more of them than a linked set can miss, none links
     sets = written(sets.where(F.col("s") >= F.ceil(F.col("n") * threshold - 1e-9)), "still-open")
-    shared = written(met.select("id", "x", "f").join(_bounded(sets.select("id")), "id", "left_semi"), "shared")
+    shared = written(met.select("id", "x", "f").join(bounded(sets.select("id")), "id", "left_semi"), "shared")
     discard(met)
     return sets, shared
 
@@ -319,7 +319,7 @@ def _central_pairs(shared: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     """For each open set the central one that most of its shingles lead to: of the sets that hold a
     shingle, the one with the least share of shingles of its own. What was copied from one text lies
     around it, so that these pairs join most of a group of near copies."""
-    each = shared.join(_bounded(sets), "id")
+    each = shared.join(bounded(sets), "id")
     noise = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 1000.0 * 0.02 * seed
     own = (F.col("n") - F.col("s")) / F.col("n") + noise
     hubs = each.groupBy("x").agg(F.min(F.struct(own.alias("own"), "id", "component")).alias("hub"))
@@ -338,7 +338,7 @@ def _prefix_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataF
     long_part, short_part, needed = threshold, 2 * threshold / (1 + threshold), threshold / (1 + threshold)
     most_missing = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9)
     missing = most_missing(long_part)
-    ranked = shared.join(_bounded(sets), "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")) + F.col("n") - F.col("s"))
+    ranked = shared.join(bounded(sets), "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")) + F.col("n") - F.col("s"))
     ranked = ranked.where(F.col("k") <= missing + MAX_MATCHES)
     # l matches cost the posting lists of l - 1 further shingles, and at most their share of comparisons
     so_far = F.sum("f").over(Window.partitionBy("id").orderBy("k"))

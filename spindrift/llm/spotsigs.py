@@ -9,7 +9,9 @@ given up as soon as a bound shows that it falls short.
 
 Only DataFrame functions are used. A text without anchors has one signature, of all its words (of
 the text itself, if it has none); null and empty texts have none. Two empty fingerprints have
-likeness 1, an empty and another one 0. Repeated rows have fingerprints each.
+likeness 1, an empty and another one 0. Repeated rows have fingerprints each. An empty table gives
+no rows. Columns of the input but the id and the text are not read by the query; the functions add
+columns under names that are given to them or stated.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .jaccard import bounded, components
 
 #: Content words in a signature.
 CHAIN = 2
@@ -30,6 +33,8 @@ ANCHORS = (
     "der die und das den von zu mit sich dem ein auf nicht ist im als auch es "
     "el los y las del se con por una su para no lo"
 ).split()
+#: Rounds in which classes are compared with hubs only.
+HUB_ROUNDS = 3
 #: Documents that a bucket of neighbouring ids holds, and buckets at most (their first ids are broadcast).
 BUCKET_ROWS, MAX_BUCKETS = 2048, 65_536
 _MARK = "\x01"
@@ -77,50 +82,79 @@ def classes(df: DataFrame, id_col: str = "doc_id", signatures: str = "signatures
 
 
 def near(df: DataFrame, id_col: str = "doc_id", signatures: str = "signatures", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): each document's representative (the least id with the same set), and the
-    pairs of representatives with a likeness of at least threshold. Empty sets are alike with none."""
+    """(members, components): each document's representative (the least id with the same set), and
+    (id, component) of the representatives that have others with a likeness of at least threshold:
+    the least id that such likenesses lead to. Empty sets are alike with none."""
     # written first: a filter on the sets would else be pushed into what computes them
     held = written(df.select(id_col, signatures), "fingerprints")
     reps = classes(held, id_col, signatures)
     of_class = reps.select(F.col("s").alias(signatures), F.col("id").alias("representative"))
     members = held.join(of_class, signatures).select(F.col(id_col).alias("id"), "representative").distinct()
-    return members, near_classes(reps, threshold)
+    return members, near_components(reps, threshold)
 
 
-def near_classes(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness): the pairs of classes with a likeness of at least threshold, by their ids.
+def _alike(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes with a likeness of at least threshold, written."""
+    sets = reps.select("id", "s")
+    full = written(pairs, "pairs").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return written(full.where(likeness("sa", "sb", threshold) >= threshold).select("a", "b"), "alike")
+
+
+def near_components(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, component) of the classes that are alike with others, exactly, by their ids.
 
     Classes are dealt by their rarest signatures (as many as a near set can't all miss)
     and by their length's partition; a set also probes the partition of longer ones next to its
     own. Frequent signatures come last, so that what many documents share opens no comparison;
-    those that one class alone has come first and are only counted."""
+    those that one class alone has come first and are only counted. In the first rounds each class
+    is compared only with the one that most of its signatures have as their hub, which makes a group
+    of near copies one component; then only classes of different components are compared."""
     reps = reps.where("id is not null")
     each = reps.select("id", "n", F.explode("s").alias("x"))
     frequency = each.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     by_id = Window.partitionBy("id")
-    rank = F.row_number().over(by_id.orderBy("f", "x")) + F.col("n") - F.count(F.lit(1)).over(by_id)
-    prefix = each.join(frequency, "x").withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    shared = F.count(F.lit(1)).over(by_id)
+    rank = F.row_number().over(by_id.orderBy("f", "x")) + F.col("n") - shared
+    prefix = each.join(frequency, "x").withColumn("own", (F.col("n") - shared) / F.col("n")).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("n")
-    prefix = written(prefix.withColumn("part", part).select("x", "part", "id", "n"), "prefix")
-    probes = prefix.select("x", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("na"))
-    met = probes.join(prefix.select("x", "part", F.col("id").alias("b"), F.col("n").alias("nb")), ["x", "part"])
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = met.where(ordered & (F.col("na") >= threshold * F.col("nb") - 1e-9)).select("a", "b").distinct()
-    sets = reps.select("id", "s")
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", likeness("sa", "sb", threshold).alias("likeness")).where(F.col("likeness") >= threshold)
-
-
-def with_nearest(df: DataFrame, id_col: str, signatures: str, threshold: float = 0.8) -> DataFrame:
+    prefix = written(prefix.withColumn("part", part).select("x", "part", "id", "n", "k", "own"), "prefix")
+    near_size = F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9
+    links, labels = None, prefix.sparkSession.createDataFrame([], "id long, component long")
+    for seed in range(HUB_ROUNDS + 1):
+        held = prefix.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        probes = held.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+        if seed < HUB_ROUNDS:
+            # what was copied from one text lies around the class with the fewest signatures of its own
+            drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 1000.0
+            order = F.struct((F.col("own") + 0.1 * seed * drawn).alias("own"), drawn.alias("drawn"), "id", "n", "component")
+            hubs = held.groupBy("x", "part").agg(F.min(order).alias("hub")).select("x", "part", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.component").alias("cb"))
+            met = probes.join(hubs, ["x", "part"]).where((F.col("component") != F.col("cb")) & near_size)
+            counted = met.groupBy("id", "b").agg(F.count(F.lit(1)).alias("c"))
+            pairs = counted.groupBy(F.col("id").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        else:
+            others = held.select("x", "part", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("component").alias("cb"))
+            # what follows the first shared signature in either order must be enough
+            room = F.least(F.col("n") - F.col("k"), F.col("nb") - F.col("kb")) + 1 >= F.ceil((F.col("n") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+            ordered = (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("id") < F.col("b")))
+            pairs = probes.join(others, ["x", "part"]).where((F.col("component") != F.col("cb")) & near_size & ordered & room).select(F.col("id").alias("a"), "b").distinct()
+        more = _alike(reps, pairs, threshold)
+        links = more if links is None else links.union(more)
+        if more.limit(1).count():
+            labels = components(links)
+    return labels
+
+
+def with_near(df: DataFrame, id_col: str, signatures: str, threshold: float = 0.8) -> DataFrame:
     """Adds class_id, the least id with the same set (null for empty sets and those of null ids
-    only), and nearest_id, the id of the other class that is most alike (of equals the least), if
-    one has a likeness of at least threshold. df is read twice."""
+    only), and near_id, the least id that likenesses of at least threshold lead to. Columns of df of
+    these names give way. df is read twice."""
     reps = classes(df, id_col, signatures)
-    pairs = near_classes(reps, threshold)
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "likeness"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "likeness"))).alias("p")).select("p.*")
-    nearest = both.groupBy("id").agg(F.min_by("other", F.struct(-F.col("likeness"), "other")).alias("nearest_id"))
-    of_class = reps.join(nearest, "id", "left").select(F.col("s").alias(signatures), F.col("id").alias("class_id"), "nearest_id")
-    return df.join(of_class, signatures, "left")
+    near_id = near_components(reps, threshold).select("id", F.col("component").alias("near_id"))
+    digests = lambda column: [F.xxhash64(column), F.hash(column)]  # noqa: E731  96 bits stand for a set
+    of_class = reps.join(near_id, "id", "left").select(*(d.alias(f"__set{i}") for i, d in enumerate(digests("s"))), F.col("id").alias("class_id"), F.coalesce("near_id", "id").alias("near_id"))
+    of_class = bounded(written(of_class, "of-class"))
+    same = [d == F.col(f"__set{i}") for i, d in enumerate(digests(signatures))]
+    return df.drop("class_id", "near_id").join(of_class, same, "left").drop("__set0", "__set1")
 
 
 def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -166,5 +200,5 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("signatures", "edited_signatures").alias("near_edited"),
         likeness("signatures", "next_signatures").alias("near_next"),
     )
-    found = with_nearest(written(found, "fingerprints"), "doc_id", "signatures")
-    return found.select("doc_id", "n_chars", "edited_sha256", as_text("signatures").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "nearest_id")
+    found = with_near(written(found, "fingerprints"), "doc_id", "signatures")
+    return found.select("doc_id", "n_chars", "edited_sha256", as_text("signatures").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "near_id")

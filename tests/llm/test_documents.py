@@ -90,14 +90,18 @@ def test_next_document_over_buckets(spark, monkeypatch):
 
 def test_near_fingerprints(docs):
     held = spotsigs.with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "signatures")
-    members, pairs = spotsigs.near(held, threshold=0.6)
+    members, components = spotsigs.near(held, threshold=0.6)
     sets = {r.doc_id: frozenset(r.signatures) for r in held.collect() if r.signatures}
     reps = {}
     for i in sorted(sets):
         reps.setdefault(sets[i], i)
     like = lambda a, b: len(a & b) / len(a | b)
     plain = {tuple(sorted((i, j))) for a, i in reps.items() for b, j in reps.items() if i < j and like(a, b) >= 0.6}
-    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == plain and plain
+    label = {i: i for i in reps.values()}
+    for _ in reps:
+        for i, j in plain:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r.id: r.component for r in components.collect()} == {i: label[i] for pair in plain for i in pair} and plain
     assert {r.id: r.representative for r in members.collect()} == {i: reps[s] for i, s in sets.items()}
 
 
@@ -331,15 +335,20 @@ def test_query_of_fingerprints_seeks_near_ones(spark):
     first = {}
     for i in sorted(sets):
         first.setdefault(sets[i], i)
-    like = lambda a, b: len(a & b) / len(a | b)
-    nearest = {}
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    label = {i: i for i in first.values()}
     for a, i in first.items():
-        near = [(-like(a, b), j) for b, j in first.items() if i != j and a and b and like(a, b) >= 0.8]
-        nearest[i] = min(near)[1] if near else None
-    assert len(rows) == len(sets) == 200 and any(nearest.values())
+        for b, j in first.items():
+            if a and b and label[i] != label[j] and like(a, b) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert len(rows) == len(sets) == 200 and any(k != v for k, v in label.items())
+    order = sorted(sets)
     for r in rows:
         assert r.class_id == (first[sets[r.doc_id]] if r.fingerprint else None)
-        assert r.nearest_id == (nearest[r.class_id] if r.fingerprint else None)
+        assert r.near_id == (label[r.class_id] if r.fingerprint else None)
+        following = order[(order.index(r.doc_id) + 1) % len(order)]
+        assert r.near_next == pytest.approx(like(sets[r.doc_id], sets[following]))
 
 
 def test_hint_matches_what_holds_entities(spark):
