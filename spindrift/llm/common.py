@@ -50,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: with it go the shuffle files of plans that have been
+    written and that nothing refers to any more, which else may stay on disk for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `written` returned, once nothing that is still to run reads them."""
     for df in tables:

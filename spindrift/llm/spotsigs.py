@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import release, table, written
 from .jaccard import bounded, components
 
 #: Content words in a signature.
@@ -118,6 +118,7 @@ def near_components(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
     prefix = each.join(frequency, "x").withColumn("own", (F.col("n") - shared) / F.col("n")).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("n")
     prefix = written(prefix.withColumn("part", part).select("x", "part", "id", "n", "k", "own"), "prefix")
+    release(prefix.sparkSession)
     near_size = F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9
     links, labels = None, prefix.sparkSession.createDataFrame([], "id long, component long")
     for seed in range(HUB_ROUNDS + 1):
@@ -200,5 +201,7 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("signatures", "edited_signatures").alias("near_edited"),
         likeness("signatures", "next_signatures").alias("near_next"),
     )
-    found = with_near(written(found, "fingerprints"), "doc_id", "signatures")
+    found = written(found, "fingerprints")
+    release(spark)
+    found = with_near(found, "doc_id", "signatures")
     return found.select("doc_id", "n_chars", "edited_sha256", as_text("signatures").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "near_id")
