@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,19 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there, and lost
-    executors don't cost the work before it."""
+    executors don't cost the work before it. The shuffle files behind it are removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: with it go the shuffle files of plans that have been
-    written and that nothing refers to any more, which else may stay on disk for long."""
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside has its shuffle files removed when it ends, not when the driver next collects
+    its garbage. Executions don't share them, so that no later one misses any."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, table, written
+from .common import discard, table, written
 from .jaccard import bounded, components
 
 #: Content words in a signature.
@@ -96,8 +96,11 @@ def near(df: DataFrame, id_col: str = "doc_id", signatures: str = "signatures",
 def _alike(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of classes with a likeness of at least threshold, written."""
     sets = reps.select("id", "s")
-    full = written(pairs, "pairs").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return written(full.where(likeness("sa", "sb", threshold) >= threshold).select("a", "b"), "alike")
+    pairs = written(pairs, "pairs")
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    alike = written(full.where(likeness("sa", "sb", threshold) >= threshold).select("a", "b"), "alike")
+    discard(pairs)
+    return alike
 
 
 def near_components(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -118,7 +121,6 @@ def near_components(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
     prefix = each.join(frequency, "x").withColumn("own", (F.col("n") - shared) / F.col("n")).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9) if threshold < 1 else F.col("n")
     prefix = written(prefix.withColumn("part", part).select("x", "part", "id", "n", "k", "own"), "prefix")
-    release(prefix.sparkSession)
     near_size = F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9
     links, labels = None, prefix.sparkSession.createDataFrame([], "id long, component long")
     for seed in range(HUB_ROUNDS + 1):
@@ -142,6 +144,7 @@ def near_components(reps: DataFrame, threshold: float = 0.8) -> DataFrame:
         links = more if links is None else links.union(more)
         if more.limit(1).count():
             labels = components(links)
+    discard(prefix)
     return labels
 
 
@@ -197,11 +200,10 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars",
         F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         "signatures",
-        as_text("edited_signatures").alias("edited_fingerprint"),
+        "edited_signatures",
         likeness("signatures", "edited_signatures").alias("near_edited"),
         likeness("signatures", "next_signatures").alias("near_next"),
     )
     found = written(found, "fingerprints")
-    release(spark)
     found = with_near(found, "doc_id", "signatures")
-    return found.select("doc_id", "n_chars", "edited_sha256", as_text("signatures").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id", "near_id")
+    return found.select("doc_id", "n_chars", "edited_sha256", as_text("signatures").alias("fingerprint"), as_text("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "near_id")
