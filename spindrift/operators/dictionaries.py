@@ -63,12 +63,14 @@ def longest_prefix(df: DataFrame, value: str, dictionary: DataFrame, longest: in
 
 
 def ngrams(df: DataFrame, value: str, shortest: int, longest: int, least: int = 2) -> DataFrame:
-    """(gram, n): all substrings of those lengths that occur at least so often."""
+    """(gram, n): all substrings of those lengths that occur at least so often. Equal texts are cut once and
+    count as often as they occur; null texts have none."""
     starts = F.explode(F.sequence(F.lit(1), F.length(value) - shortest + 1))
-    each = df.where(F.length(value) >= shortest).select(value, starts.alias("at"))
+    texts = df.where(F.length(value) >= shortest).groupBy(value).agg(F.count(F.lit(1)).alias("__times"))
+    each = texts.select(value, "__times", starts.alias("at"))
     lengths = F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length(value) - F.col("at") + 1)))
-    each = each.select(value, "at", lengths.alias("k")).select(F.substring(value, F.col("at"), F.col("k")).alias("gram"))
-    return each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    each = each.select(value, "__times", "at", lengths.alias("k")).select(F.substring(value, F.col("at"), F.col("k")).alias("gram"), "__times")
+    return each.groupBy("gram").agg(F.sum("__times").alias("n")).where(F.col("n") >= least)
 
 
 def front_coded(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -17,6 +17,13 @@ def json_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else J.canonical(D.diff(None if a is None else J.parse(a), J.parse(b), a is None)) for a, b in zip(before, after, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.LongType())
+def delta_bytes(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Bytes of the serialised operation that turns one JSON text into another, without keeping it."""
+    op = lambda a, b: D.SAME if a == b else D.diff(None if a is None else J.parse(a), J.parse(b), a is None)
+    return pd.Series([None if b is None else len(D.serialise(op(a, b))) for a, b in zip(before, after, strict=True)], dtype="Int64")
+
+
 @F.pandas_udf(T.StringType())
 def json_patch(before: pd.Series, op: pd.Series) -> pd.Series:
     return pd.Series([None if o is None else J.canonical(D.patch(None if a is None else J.parse(a), J.parse(o), a is None)) for a, o in zip(before, op, strict=True)], dtype=object)
@@ -71,22 +78,21 @@ def array_changes(before: Column, after: Column) -> Column:
 
 
 def stream_stats(df: DataFrame, doc: str, key: list[str], order: list[str]) -> DataFrame:
-    """For each stream: updates, full sends, unchanged ones, bytes of both kinds, and the share of
-    bytes that deltas save against sending each state in full. A modify counts as the state's text,
-    an unchanged state as one byte."""
-    df = state_ops(df, doc, key, order)
-    size = F.octet_length(doc).cast("long")
+    """For each stream: updates, full sends, unchanged ones, bytes of both kinds as serialised, and the
+    share of bytes that deltas save against sending each state in full. A null state sends nothing, and a
+    stream of such states alone saves 0."""
+    df = state_ops(df, doc, key, order).select(*key, "op", delta_bytes("previous", doc).alias("__bytes"))
     full = F.col("op") == "add"
     found = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("updates"),
         F.count_if(full).alias("full_sends"),
         F.count_if(F.col("op") == "unchanged").alias("unchanged"),
-        F.sum(F.when(full, size).otherwise(0)).alias("bytes_full"),
-        F.sum(F.when(F.col("op") == "modify", size).when(F.col("op") == "unchanged", 1).otherwise(0)).alias("bytes_delta"),
+        F.coalesce(F.sum(F.when(full, F.col("__bytes"))), F.lit(0)).alias("bytes_full"),
+        F.coalesce(F.sum(F.when(~full, F.col("__bytes"))), F.lit(0)).alias("bytes_delta"),
     )
     mean_full = F.col("bytes_full") / F.col("full_sends")
     saved = 1 - (F.col("bytes_full") + F.col("bytes_delta")) / (mean_full * F.col("updates"))
-    return found.withColumn("efficiency", F.round(F.when(F.col("full_sends") > 0, saved).otherwise(0.0), 6))
+    return found.withColumn("efficiency", F.round(F.when(F.col("bytes_full") > 0, saved).otherwise(0.0), 6))
 
 
 def receive(df: DataFrame, op: str, key: list[str], order: list[str]) -> DataFrame:

@@ -48,6 +48,11 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
+def customers_without_large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
+
+
 def customers_with_large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_totalprice > 300000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_name")
@@ -67,7 +72,7 @@ def nation_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "nationkey", "full").select("nationkey", F.coalesce("n_customers", F.lit(0)).alias("n_customers"), F.coalesce("n_suppliers", F.lit(0)).alias("n_suppliers"))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, revenue_by_nation, top_orders, rollup_by_region, rank_in_segment, customers_without_orders, customers_with_large_orders, nations_on_both_sides, nation_balance)}
+QUERIES = {f.__name__: f for f in (pricing_summary, revenue_by_nation, top_orders, rollup_by_region, rank_in_segment, customers_without_orders, customers_without_large_orders, customers_with_large_orders, nations_on_both_sides, nation_balance)}
 
 ORACLE_SQL = {
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n_rows from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
@@ -76,6 +81,7 @@ ORACLE_SQL = {
     "rollup_by_region": "select r_name, n_name, count(*) as n_customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)",
     "rank_in_segment": "select c_mktsegment, place, c_custkey, c_acctbal from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as place from customer) where place <= 10",
     "customers_without_orders": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "customers_without_large_orders": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
     "customers_with_large_orders": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
     "nations_on_both_sides": "select nationkey, 'both' as side from (select c_nationkey as nationkey from customer where c_acctbal > 9000 intersect select s_nationkey from supplier) union all select nationkey, 'customers' from (select c_nationkey as nationkey from customer where c_acctbal > 9000 except select s_nationkey from supplier)",
     "nation_balance": "select coalesce(a.k, b.k) as nationkey, coalesce(n_customers, 0) as n_customers, coalesce(n_suppliers, 0) as n_suppliers from (select c_nationkey as k, count(*) as n_customers from customer group by 1) a full join (select s_nationkey as k, count(*) as n_suppliers from supplier group by 1) b on a.k = b.k",

@@ -237,16 +237,18 @@ def dictionary_merge(spark, sf_dir):
     return dictionaries.merge(base, n.where("n_nationkey >= 5").select(F.col("n_name").alias("word")).distinct())
 
 
-@query("with d as (select distinct substr(p_name, 1, 4) as w from part where p_partkey % 7 = 0 union select distinct substr(p_name, 1, 6) from part where p_partkey % 5 = 0) select p_partkey, p_name, arg_max(w, length(w)) as entry from part left join d on starts_with(p_name, w) and length(w) between 2 and 64 group by 1, 2")
+@query("with w as (select string_split(p_name, ' ') as ws from part), e as (select distinct unnest(ws) as w from w union select distinct array_to_string(ws[1:2], ' ') from w) select p_partkey, p_name, arg_max(w, length(w)) as entry from part left join e on starts_with(p_name, w) and length(w) between 2 and 64 group by 1, 2")
 def longest_match(spark, sf_dir):
+    """The dictionary: all words of all names, and the first two words of each."""
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    words = p.where("p_partkey % 7 = 0").select(F.substring("p_name", 1, 4).alias("word")).union(p.where("p_partkey % 5 = 0").select(F.substring("p_name", 1, 6))).distinct()
+    names = p.select(F.split("p_name", " ").alias("ws")).distinct()
+    words = names.select(F.explode("ws").alias("word")).union(names.select(F.array_join(F.slice("ws", 1, 2), " "))).distinct()
     return dictionaries.longest_prefix(p, "p_name", words)
 
 
-@query("with s as (select distinct p_name as t from part), a as (select t, unnest(range(1, length(t) - 1)) as i from s where length(t) >= 3), k as (select t, i, unnest(range(3, least(6, length(t) - i + 1) + 1)) as n from a) select substr(t, i, n) as gram, count(*) as n from k group by 1 having count(*) >= 2")
+@query("with a as (select p_name as t, unnest(range(1, length(p_name) - 1)) as i from part where length(p_name) >= 3), k as (select t, i, unnest(range(3, least(16, length(t) - i + 1) + 1)) as n from a) select substr(t, i, n) as gram, count(*) as n from k group by 1 having count(*) >= 2")
 def ngram_learn(spark, sf_dir):
-    return dictionaries.ngrams(_t(spark, sf_dir, "part").select("p_name").distinct(), "p_name", 3, 6)
+    return dictionaries.ngrams(_t(spark, sf_dir, "part").select("p_name"), "p_name", 3, 16)
 
 
 @query()
@@ -367,7 +369,8 @@ def path_diff(spark, sf_dir):
     return spark.sql("select user_id, event_id, d.path, d.op, d.value from spindrift_states, lateral json_diff_rows(previous, props) d")
 
 
-@query("with a as (select *, strlen(props) as b, case when lag(props) over w is null then 'add' when lag(props) over w = props then 'unchanged' else 'modify' end as op from events window w as (partition by user_id order by ts, event_id)), g as (select user_id, count(*) as updates, count(*) filter (op = 'add') as full_sends, count(*) filter (op = 'unchanged') as unchanged, cast(sum(case when op = 'add' then b else 0 end) as bigint) as bytes_full, cast(sum(case op when 'modify' then b when 'unchanged' then 1 else 0 end) as bigint) as bytes_delta from a group by 1) select *, round(case when full_sends > 0 then 1 - (bytes_full + bytes_delta) / ((bytes_full / full_sends) * updates) else 0 end, 6) as efficiency from g")
+# a state {"k": n} takes 6 bytes and a zigzag varint, whole or as a change of its field; an unchanged one takes its tag
+@query("with x as (select *, lag(props) over (partition by user_id order by ts, event_id) as p, 2 * cast(json_extract(props, '$.k') as bigint) as z from events), a as (select user_id, case when p is null then 'add' when p = props then 'unchanged' else 'modify' end as op, 6 + case when z < 128 then 1 when z < 16384 then 2 else 3 end as b from x), g as (select user_id, count(*) as updates, count(*) filter (op = 'add') as full_sends, count(*) filter (op = 'unchanged') as unchanged, cast(sum(case when op = 'add' then b else 0 end) as bigint) as bytes_full, cast(sum(case op when 'modify' then b when 'unchanged' then 1 else 0 end) as bigint) as bytes_delta from a group by 1) select *, round(case when full_sends > 0 then 1 - (bytes_full + bytes_delta) / ((bytes_full / full_sends) * updates) else 0 end, 6) as efficiency from g")
 def stream_stats(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "props")
     return states.stream_stats(e, "props", ["user_id"], ORDER)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import udfs
+from spindrift.functions import diff, udfs
 from spindrift.operators import columnar, dictionaries, schemas, sessions, states
 from spindrift.sources import documents, frames
 from spindrift.streaming import states as streaming
@@ -129,3 +129,18 @@ def test_plans_reach_the_scan(spark):
 def test_states_of_empty_streams(spark, text):
     df = spark.createDataFrame([("k", 1, text)], "k string, s long, d string")
     assert states.state_ops(df, "d", ["k"], ["s"]).first().op == "add"
+
+
+def test_ngrams_count_repeated_rows(spark):
+    df = spark.createDataFrame([("abcd",), ("abcd",), ("abc",), ("ab",), (None,)], "v string")
+    assert {r.gram: r.n for r in dictionaries.ngrams(df, "v", 3, 16).collect()} == {"abc": 3, "bcd": 2, "abcd": 2}
+    assert dictionaries.ngrams(df.where("false"), "v", 3, 16).count() == 0
+
+
+def test_stream_stats_count_serialised_bytes(spark):
+    rows = [(1, 1, '{"a":1,"b":"xx"}'), (1, 2, '{"a":1,"b":"xx"}'), (1, 3, '{"a":2,"b":"xx"}'), (2, 1, None)]
+    found = {r.k: r for r in states.stream_stats(spark.createDataFrame(rows, "k int, t int, doc string"), "doc", ["k"], ["t"]).collect()}
+    size = lambda before, after: len(diff.serialise(diff.diff(before, after, before is None)))
+    first, last = {"a": 1, "b": "xx"}, {"a": 2, "b": "xx"}
+    assert (found[1].bytes_full, found[1].bytes_delta) == (size(None, first), 1 + size(first, last))
+    assert (found[2].bytes_full, found[2].bytes_delta) == (0, 0)
