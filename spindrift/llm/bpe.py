@@ -187,7 +187,7 @@ def _over(df: DataFrame, schema: str, rank_path: str, pattern: str, rows) -> Dat
                 if found:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*found, strict=True))], names=names)
 
-    return map_texts(df, over, schema)
+    return map_texts(df, over, schema, keeps=True)
 
 
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

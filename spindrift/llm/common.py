@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,10 +91,20 @@ def small_batches(spark: SparkSession) -> None:
             conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def map_texts(df: DataFrame, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over rows that hold texts, in small batches."""
+def map_texts(df: DataFrame, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow over rows that hold texts, in small batches. Tasks of a call that keeps nothing by
+    `kept` drop what other operators kept in their worker; each task ends by giving back freed memory."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(over, schema)
+
+    def tidy(batches):
+        if not keeps:
+            forget()
+        try:
+            yield from over(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -108,10 +119,24 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iter
 
 
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
-    """make(), kept in this Python worker until another key is asked for. Workers outlive tasks and
-    operators; so what one operator learned doesn't stay while the next one runs."""
+    """make(), kept in this Python worker until another key is asked for, or a task begins that keeps
+    nothing. Workers outlive tasks and operators; so what one operator learned doesn't stay while the
+    next one runs."""
     if key not in _KEPT:
-        _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what this Python worker keeps."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory, which the allocators would hold, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

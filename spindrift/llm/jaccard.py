@@ -64,8 +64,10 @@ _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text whose shingles are made at once (a longer text is taken alone): numpy holds some 55 bytes for each.
+SHINGLE_BYTES = 1 << 18
 #: Powers that are kept between calls; those for longer texts are made each time.
-_KEPT_POWERS = 1 << 21
+_KEPT_POWERS = 2 * SHINGLE_BYTES
 _POWERS = {base: np.ones(1, dtype=np.uint64) for base in (_BASE, _INVERSE)}
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 _SALTS = _RANDOM.integers(1, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,7 +130,7 @@ def _described(docs: DataFrame, threshold: float) -> DataFrame:
 
     def over(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SHINGLE_BYTES):
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
                 n = [len(s) for s in sets]
                 owners = [_owner(hashlib.md5(s.tobytes()).digest()) if len(s) else None for s in sets]
@@ -201,7 +203,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def over(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SHINGLE_BYTES):
                 sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
                 # a row that shares the id may have another text
                 own = [(o, s) for o, s in zip(part.column(0).to_pylist(), sets, strict=True) if len(s) and _owner(hashlib.md5(s.tobytes()).digest()) == o]

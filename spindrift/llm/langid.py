@@ -202,7 +202,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str],
                 langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), langs, scores], names=[*keep, "lang_pred", "score"])
 
-    return map_texts(df.select(*columns), over, ", ".join([*filter(None, [kinds]), "lang_pred string, score double"]))
+    return map_texts(df.select(*columns), over, ", ".join([*filter(None, [kinds]), "lang_pred string, score double"]), keeps=True)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

@@ -181,7 +181,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: in
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *columns], names=[c.split()[0] for c in schema.split(", ")])
 
-    return map_texts(df.select(id_col, text_col), over, schema)
+    return map_texts(df.select(id_col, text_col), over, schema, keeps=True)
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
