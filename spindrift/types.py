@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import types as T
 
@@ -47,7 +48,7 @@ class JsonType:
         text = self.text if self.text == other.text or not other.text else other.text if not self.text else "string"
         return JsonType(self.null or other.null, self.boolean or other.boolean, max(self.width, other.width), self.real or other.real, text, element, self.array or other.array, _merge_fields(self.fields, other.fields))
 
-    @property
+    @cached_property
     def kinds(self) -> list[str]:
         number = "real" if self.real else f"int{self.width}" if self.width else ""
         found = [self.boolean and "boolean", number, self.text, self.array and "array", self.fields is not None and "object"]
