@@ -267,3 +267,20 @@ def test_column_blocks_take_few_steps():
     records = [jsonbytes.parse(EVENT)] * 3
     assert columns.from_block(columns.to_block(records)) == records
     assert steps(lambda: columns.from_block(columns.to_block(records))) < 13_000
+
+
+def test_templates_take_few_steps():
+    data = EVENT.encode()
+    assert templates.decode(templates.encode(data)) == data
+    assert steps(lambda: templates.decode(templates.encode(data))) < 11_000
+
+
+def test_odd_nibbles_are_packed():
+    for n in (100, 101):
+        coded = entropy.compress(b"abcabd" * n + b"x")
+        assert len(coded) == entropy.compressed_size(b"abcabd" * n + b"x") < 4 * n and entropy.decompress(coded) == b"abcabd" * n + b"x"
+
+
+@given(BYTES)
+def test_entropy_size(data):
+    assert entropy.compressed_size(data) == len(entropy.compress(data))
