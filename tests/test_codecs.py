@@ -284,3 +284,23 @@ def test_odd_nibbles_are_packed():
 @given(BYTES)
 def test_entropy_size(data):
     assert entropy.compressed_size(data) == len(entropy.compress(data))
+
+
+def test_blocks_take_few_steps():
+    data = ("The quick brown fox jumps over the lazy dog, and so on. " * 3 + "".join(f"{i * i} and {i * 7} words, " for i in range(300))).encode()[:4096]
+    assert frames.read_blocks(frames.write_blocks(data, 4096)) == data
+    assert steps(lambda: frames.read_blocks(frames.write_blocks(data, 4096))) < 210_000
+
+
+@given(st.binary(max_size=5000), st.integers(0, (1 << 32) - 1))
+def test_checksums_of_parts(data, crc):
+    def plain(data, crc):
+        crc ^= 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    assert frames.crc32c(data, crc) == plain(data, crc)
+    assert frames.crc32c(data[100:], frames.crc32c(data[:100])) == frames.crc32c(data)
